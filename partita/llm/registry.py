@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, warc
 
 QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
