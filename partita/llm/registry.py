@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, warc
+from . import chat, sentencepiece_bpe, warc
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op10_warc": warc.op10_warc,
 }
