@@ -25,6 +25,7 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import table
 
@@ -213,7 +214,7 @@ def encode_texts(df: DataFrame, text: str = "text", out: str = "ids", model_file
         ids = [_full(enc, t) for t in texts]
         return {out: ids, "decoded": [enc.decode(i) for i in ids]}
 
-    schema = base.drop("_encode_text").schema.add(out, "array<int>").add("decoded", "string")
+    schema = StructType([*rest, StructField(out, ArrayType(IntegerType())), StructField("decoded", StringType())])
     return base.mapInPandas(_over(model_file or default_model(), "_encode_text", make), schema)
 
 
