@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, language, sentencepiece_bpe, warc
+from . import chat, language, mixing, sentencepiece_bpe, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op7_mixing": mixing.op7_mixing,
     "op9_language_id": language.op9_language_id,
     "op10_warc": warc.op10_warc,
 }
