@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, quality, sentencepiece_bpe, warc
+from . import chat, embedding_dups, language, mixing, quality, sentencepiece_bpe, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_quality": quality.op5_quality,
+    "op6_embedding_dups": embedding_dups.op6_embedding_dups,
     "op7_mixing": mixing.op7_mixing,
     "op9_language_id": language.op9_language_id,
     "op10_warc": warc.op10_warc,
@@ -15,5 +16,6 @@ QUERIES = {
 
 SQL = {
     "op5_quality": quality.OP5_SQL,
+    "op6_embedding_dups": embedding_dups.OP6_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
 }
