@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dups, language, mixing, quality, sentencepiece_bpe, warc
+from . import chat, embedding_dups, language, licenses, mixing, quality, sentencepiece_bpe, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
+    "op2_license_scan": licenses.op2_license_scan,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_quality": quality.op5_quality,
     "op6_embedding_dups": embedding_dups.op6_embedding_dups,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_license_scan": licenses.OP2_SQL,
     "op5_quality": quality.OP5_SQL,
     "op6_embedding_dups": embedding_dups.OP6_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
