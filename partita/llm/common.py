@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +76,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def stream_groups(keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame]):
+    """mapInPandas function over rows sorted by keys: fn gets each group of two rows or more, put together over batch borders."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            k = pdf[keys]
+            starts = np.flatnonzero((k != k.shift()).any(axis=1).to_numpy())
+            rest = pdf.iloc[starts[-1] :]
+            got = [fn(pdf.iloc[s:e]) for s, e in zip(starts[:-1], starts[1:], strict=True) if e - s > 1]
+            if got:
+                yield pd.concat(got, ignore_index=True)
+        if rest is not None and len(rest) > 1:
+            yield fn(rest)
+
+    return run

@@ -12,14 +12,14 @@ components, each vector's smallest partner in the block: never lists of pairs. A
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, written
+from .common import stream_groups, table, written
 from .components import connected
 
 THRESHOLD = 0.98
@@ -147,26 +147,6 @@ def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return out[(out["links"] > 0) | (out["root"] != out["rid"])]
 
 
-def _by_block(threshold: float):
-    """mapInPandas over rows sorted by (label, dim, f, pi, pj): blocks are put together over batch borders."""
-    keys = ["label", "dim", "f", "pi", "pj"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            k = pdf[keys]
-            starts = np.flatnonzero((k != k.shift()).any(axis=1).to_numpy())
-            rest = pdf.iloc[starts[-1] :]
-            got = [_compare(pdf.iloc[s:e], threshold) for s, e in zip(starts[:-1], starts[1:], strict=True) if e - s > 1]
-            if got:
-                yield pd.concat(got, ignore_index=True)
-        if rest is not None and len(rest) > 1:
-            yield _compare(rest, threshold)
-
-    return run
-
-
 def near_duplicates(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, cell: int = CELL
 ) -> DataFrame:
@@ -202,7 +182,7 @@ def near_duplicates(
     )
     blocks = member.withColumn("p", F.explode(pairs)).select("label", "dim", "f", "p.pi", "p.pj", "rid", "mult", "cell", "fs", "v")
     keys = ["label", "dim", "f", "pi", "pj"]
-    found = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_by_block(threshold), "rid long, links long, root long")
+    found = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream_groups(keys, partial(_compare, threshold=threshold)), "rid long, links long, root long")
     found, _ = written(found, "links")
     parts = connected(found.where("root <> rid").select(F.col("rid").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("rid").agg(F.sum("links").alias("links"))

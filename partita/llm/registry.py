@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dups, language, licenses, mixing, quality, sentencepiece_bpe, warc
+from . import chat, embedding_dups, language, licenses, minhash, mixing, quality, sentencepiece_bpe, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_embedding_dups": embedding_dups.op6_embedding_dups,
     "op7_mixing": mixing.op7_mixing,
+    "op8_minhash": minhash.op8_minhash,
     "op9_language_id": language.op9_language_id,
     "op10_warc": warc.op10_warc,
 }
