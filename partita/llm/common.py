@@ -97,3 +97,8 @@ def stream_groups(keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame]):
             yield fn(rest)
 
     return run
+
+
+def released(df: DataFrame) -> None:
+    """Lets the JVM collect what finished steps left, so that their shuffle files leave the executors' disks before the next step."""
+    df.sparkSession.sparkContext._jvm.System.gc()

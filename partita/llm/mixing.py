@@ -108,7 +108,7 @@ def _diffuse(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights=(1, 2, 3), most: float = MOST) -> DataFrame:
-    """Per document: _key, _source, size, source_size, target, copies.
+    """Per document: _key, _source, h (hash of key and text), size, source_size, target, copies.
 
     Null text: size 0, never taken. Null source: a source of its own, last in order. Repeated rows and repeated keys count as
     documents of their own; equal rows are interchangeable. No rows: no rows. Other columns are left out.
@@ -140,11 +140,22 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     ranked = ranked.join(lengths, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("part") == F.col("p2")))
     spare = F.col("from") + F.col("i") <= F.col("copies") % F.col("n")
     return ranked.select(
-        "_key", F.col("source").alias("_source"), "size", "source_size", "target",
+        "_key", F.col("source").alias("_source"), "h", "size", "source_size", "target",
         (F.floor(F.col("copies") / F.col("n")) + F.when(spare, 1).otherwise(0)).alias("copies"),
     )
 
 
+def take(docs: DataFrame, mixed: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The mix itself: each row of docs as often as mix() says. Rows equal in key, text and source share what the mix takes of them."""
+    per = mixed.groupBy("_key", "_source", "h").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0")
+    rows = docs.withColumn("_h", F.xxhash64(F.col(key), F.col(text)))
+    rows = rows.join(per, (F.col("_h") == F.col("h")) & F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")))
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_h", key, source).orderBy("_h")))
+    times = F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_i") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
+    rows = rows.withColumn("_times", times.cast("int")).where("_times > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in docs.columns])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: doc_id, size, source_size, target, taken (+ copies)."""
     got = mix(table(spark, sf_dir, "documents"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dups, language, licenses, minhash, mixing, quality, sentencepiece_bpe, warc
+from . import chat, embedding_dups, language, licenses, line_dedup, minhash, mixing, quality, sentencepiece_bpe, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_quality": quality.op5_quality,
     "op6_embedding_dups": embedding_dups.op6_embedding_dups,
