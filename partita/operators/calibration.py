@@ -50,7 +50,7 @@ def rank_auc(pairs: DataFrame, score: str = "score", truth: str = "label", order
     per = pairs.groupBy(score).agg(F.count(F.lit(1)).alias("c"))
     below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col(score).alias("s"), F.coalesce(F.sum("c").over(below), F.lit(0)).alias("below"))
-    place = F.row_number().over(Window.partitionBy(score).orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(score).orderBy(*(list(order) or [F.col(score)])))
     ranked = pairs.withColumn("place", place).join(per, F.col(score) == F.col("s"))
     got = ranked.agg(
         F.sum(F.when(F.col(truth) == 1, F.col("below") + F.col("place"))).alias("ranks"),

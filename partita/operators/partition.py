@@ -52,7 +52,7 @@ def capped_merge(nodes: DataFrame, edges: DataFrame, order: list[Column], cap: i
     t = _schema(nodes, "node")
     left = nodes.select(group, "node", F.col("n").cast("long").alias("n"))
 
-    def run(key, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         f, step, said = Forest(dict(zip(own["node"], own["n"], strict=True))), 0, {}
         for a, b in pairs.sort_values("pos")[["a", "b"]].itertuples(index=False):
             if step >= max_edges:
@@ -101,7 +101,7 @@ def guarded_merge(items: DataFrame, edges: DataFrame, max_rank: int, max_degree:
     fine = edges.where((F.greatest("rank_ab", "rank_ba") <= max_rank) & gate)
     ranked = fine.select(group, "a", "b", F.row_number().over(Window.partitionBy(group).orderBy(*order, "a", "b")).alias("pos"))
 
-    def run(k, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         f, degree = Forest({x: 1 for x in own[key]}), dict.fromkeys(own[key], 0)
         for a, b in pairs.sort_values("pos")[["a", "b"]].itertuples(index=False):
             if a in degree and b in degree and degree[a] < max_degree and degree[b] < max_degree and f.union(a, b, cap) is not None:
@@ -192,7 +192,7 @@ def _average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
 def agglomerate(items: DataFrame, threshold: float, group: str = "species", key: str = "image_id", vector: str = "v", most: int = 8000) -> DataFrame:
     """(group, image_id, root): average linkage per group until the least distance is not under threshold. A group over `most` items is an error."""
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > most:
             raise ValueError(f"group {k[0]!r} has {len(pdf)} items; average linkage takes {most} at most")
         pdf = pdf.sort_values(key)
