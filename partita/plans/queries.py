@@ -12,7 +12,9 @@ from ..operators import candidates as J
 from ..operators import components as G
 from ..operators import lineage as D
 from ..operators import partition as P
+from ..operators import variants as W
 from ..session import table
+from ..sources import features as X
 from ..sources import tables as T
 from .items import ITEMS, PAIRS, SIMS, items, neighbours, scored_pairs, second_partition
 from .registry import query
@@ -552,3 +554,69 @@ def flagship_merge_refinement(spark, sf):
     chosen = scored.crossJoin(at).where("match_prob >= at").select("a", "b", F.col("match_prob").alias("sim"))
     merged = P.relabel(it.select("image_id", "species", "cluster"), _capped(it, chosen, 7, 28))
     return P.compact_labels(merged).select("image_id", "species", "cluster")
+
+
+# ---- variants, rasters, descriptors
+
+
+@query("split_merge_variant")
+def split_merge_variant(spark, sf):
+    it = items(spark, sf)
+    return W.split_merge(it.select("image_id", "species", "cluster"), scored_pairs(it).select("a", "b", "sim"), 0.2, 0.35, 4, cap=20)
+
+
+@query("preserve_regroup")
+def preserve_regroup(spark, sf):
+    it = items(spark, sf)
+    return W.preserve_and_regroup(it.select("image_id", "species", "cluster"), scored_pairs(it), 3, (F.col("sim") >= 0.40) & (F.col("votes") > 0))
+
+
+@query("variant_shapes")
+def variant_shapes(spark, sf):
+    it = items(spark, sf)
+    return W.variant_shapes(W.build_variants(it.select("image_id", "species", "cluster"), scored_pairs(it)))
+
+
+@query("ari_grid_search")
+def ari_grid_search(spark, sf):
+    it = items(spark, sf)
+    got = W.search_threshold(it, J.mutual(neighbours(it)), [0.3, 0.36, 0.42])
+    return got.select("threshold", r6(F.col("ari")).alias("ari"))
+
+
+@query("validation_pairs", f"WITH {SIMS}, p AS (SELECT x.image_id AS a, y.image_id AS b, x.identity FROM items x JOIN items y ON x.identity = y.identity AND x.image_id < y.image_id), pr AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY md5('11|' || a::VARCHAR || '|' || b::VARCHAR)) AS r FROM p), n AS (SELECT DISTINCT least(k.a, k.b) AS a, greatest(k.a, k.b) AS b FROM knn k JOIN items x ON x.image_id = k.a JOIN items y ON y.image_id = k.b WHERE x.identity <> y.identity) SELECT a, b, 1 AS label FROM pr WHERE r <= 10 UNION ALL SELECT a, b, 0 FROM (SELECT a, b FROM n ORDER BY md5('11|' || a::VARCHAR || '|' || b::VARCHAR) LIMIT 1000)")
+def validation_pairs(spark, sf):
+    it = items(spark, sf)
+    return W.validation_pairs(it, neighbours(it))
+
+
+@query("dense_ids", f"WITH {ITEMS} SELECT image_id, species || '::' || identity AS entity, dense_rank() OVER (ORDER BY species || '::' || identity) - 1 AS entity_no FROM items")
+def dense_ids(spark, sf):
+    return W.dense_ids(items(spark, sf)).select("image_id", "entity", F.col("entity_no").cast("long").alias("entity_no"))
+
+
+@query("experiment_upsert", "SELECT vec_id AS run_id, CASE WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS state FROM embeddings")
+def experiment_upsert(spark, sf):
+    log = table(spark, sf, "embeddings").select(F.col("vec_id").alias("run_id"), F.lit("old").alias("state"))
+    return T.upsert(log, log.where("run_id % 5 = 0").withColumn("state", F.lit("new")))
+
+
+@query("path_remap", r"SELECT page_id, CASE WHEN contains(replace(url, '\', '/'), '/en/') THEN '/data/en/' || string_split(replace(url, '\', '/'), '/en/')[-1] ELSE '/data/' || string_split(replace(url, '\', '/'), '/')[-1] END AS path FROM pages")
+def path_remap(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.remap_path(F.col("url"), "/data", "en").alias("path"))
+
+
+@query("template_scores")
+def template_scores(spark, sf):
+    it = items(spark, sf)
+    v = lambda k, n: it.select(F.col("image_id").alias(k), F.col("v").alias(n))
+    return X.template_scores(scored_pairs(it).select("a", "b").join(v("a", "ra"), "a").join(v("b", "rb"), "b")).select("a", "b", r6(F.col("score")).alias("score"), "transform", "dx", "dy")
+
+
+@query("descriptor_matches")
+def descriptor_matches(spark, sf):
+    it = items(spark, sf)
+    d = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("v", k * 8 + 1, 8))
+    v = lambda k, n: it.select(F.col("image_id").alias(k), d.alias(n))
+    got = X.descriptor_matches(scored_pairs(it).select("a", "b").join(v("a", "da"), "a").join(v("b", "db"), "b"), floor=0.5)
+    return got.select("a", "b", "matches", r6(F.col("mean_conf")).alias("mean_conf"))

@@ -1,0 +1 @@
+"""No streaming operators: the queries here are batch plans over stored tables."""

@@ -153,3 +153,19 @@ def test_zero_vectors(spark):
 def test_non_finite_numbers(spark):
     r = frame(spark, [(float("nan"), float("inf"), -float("inf"))], "a double, b double, c double").select(*[S.finite(F.col(x)) for x in "abc"]).first()
     assert tuple(r) == (0.0, 1.0, 0.0)
+
+
+def test_kernels():
+    import numpy as np
+
+    from partita.functions import kernels as K
+
+    rng = np.random.default_rng(0)
+    a = rng.random((12, 12))
+    m = np.ones(a.shape, bool)
+    assert K.template_match(a, m, a, m)[:1] + K.template_match(a, m, a, m)[1:] == (1.0, 0, 0, 0)
+    assert K.template_match(a, m, a[:, ::-1], m)[1] == 1
+    assert K.phase_shift(np.roll(a, (2, 3), (0, 1)), a) == (3, 2)
+    assert abs(K.stack_gain(a, m, a, m) - 1 / 1.35) < 1e-9
+    assert K.mutual_matches(np.eye(3), np.eye(3)[::-1]) == [(0, 2, 1.0), (1, 1, 1.0), (2, 0, 1.0)]
+    assert K.mutual_matches(np.empty((0, 3)), np.eye(3)) == []
