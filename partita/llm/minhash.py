@@ -1,8 +1,8 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Shingles are five lower-cased words, as 64-bit hashes. A shingle weighs tf * idf; document frequencies are counted over all documents in
-BUCKETS hashed places (fixed size, so they can be sent to all tasks), and idf = 1 + ln((1+N)/(1+df)) / ln(1+N) lies between 1 and 2, so that what
-thousands of copies share still counts. A signature holds BANDS * ROWS consistent weighted samples; two texts of weighted Jaccard
+BUCKETS hashed places (fixed size, so they can be sent to all tasks), and idf = 1 + SPAN * ln((1+N)/(1+df)) / ln(2+N), so that what thousands
+of copies share still counts: plain idf would part large groups of near copies from themselves. A signature holds BANDS * ROWS consistent weighted samples; two texts of weighted Jaccard
 similarity s agree in each with probability s.
 
 Texts with equal words are one from the start. In every bucket (band, samples) each text is compared with the bucket's smallest id; that alone
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 9, 3
 BUCKETS = 1 << 18
+#: idf lies between 1 and 1 + SPAN.
+SPAN = 0.25
+#: Draws that the samples' random variates are taken from.
+POOL = 1 << 16
 #: Of BANDS * ROWS samples so many must agree for a second-round pair: similarity 0.8 gives fewer once in a million.
 AGREE = 10
 CELL = 512
@@ -69,25 +74,30 @@ def weighted(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, tf * idf[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
 
 
+@lru_cache(maxsize=1)
+def _variates() -> tuple[np.ndarray, ...]:
+    """r, 1/r, ln c and beta of the sampling scheme: POOL draws from a fixed seed; (shingle, sample) picks one of them by a hash."""
+    rng = np.random.default_rng(20100101)
+    r, c = rng.gamma(2.0, 1.0, POOL), rng.gamma(2.0, 1.0, POOL)
+    return tuple(x.astype(np.float32) for x in (r, 1 / r, np.log(c), rng.random(POOL)))
+
+
 def signature(h: np.ndarray, w: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-    """k consistent weighted samples (Ioffe, 2010) as 64-bit values of (shingle, quantised weight)."""
-    out = np.empty(k, np.uint64)
-    lw = np.log(w).astype(np.float32)
-    unit = np.float32(2.0**-24)
-    for i in range(k):
-        z = _mix(h + _ODD[16 + i])
-        y = _mix(z + _ODD[15])
-        a = ((z >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * unit
-        b = (((z >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * unit
-        c = ((y >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * unit
-        d = (((y >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * unit
-        beta = ((z ^ y) & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
-        r = -np.log(a * b)
-        t = np.floor(lw / r + beta)
-        ln_a = np.log(-np.log(c * d)) - r * (t - beta + np.float32(1))
-        j = int(np.argmin(ln_a))
-        out[i] = h[j] ^ _mix(np.array([int(t[j]) & 0xFFFFFFFF], np.uint64) + _ODD[i])[0]
-    return out
+    """k consistent weighted samples (Ioffe, 2010) as 64-bit values of (shingle, quantised weight). Shingles ascending; ties go to the first."""
+    r, inv, lc, beta = _variates()
+    odd = _ODD[16 : 16 + k, None]
+    best, pick, quant = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64), np.zeros(k, np.int64)
+    for at in range(0, len(h), 4096):
+        x, lw = h[at : at + 4096], np.log(w[at : at + 4096]).astype(np.float32)
+        i = ((x[None, :] * odd) >> np.uint64(48)).view(np.int64)
+        b = beta[i]
+        t = np.floor(lw * inv[i] + b)
+        ln_a = lc[i] - r[i] * (t - b + np.float32(1))
+        j = ln_a.argmin(axis=1)
+        low = ln_a[np.arange(k), j]
+        new = low < best
+        best[new], pick[new], quant[new] = low[new], x[j[new]], t[np.arange(k), j][new].astype(np.int64)
+    return pick ^ _mix(quant.astype(np.uint64) + _ODD[:k])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -127,7 +137,7 @@ def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
     rest = got[got["bucket"] >= 0]
     df[rest["bucket"].to_numpy(np.int64)] = rest["n"].to_numpy(np.int64)
     n = int(got.loc[got["bucket"] < 0, "n"].sum())
-    return (1 + np.log((1 + n) / (1 + df)) / math.log(n + 2)).astype(np.float32).astype(np.float64)
+    return (1 + SPAN * np.log((1 + n) / (1 + df)) / math.log(n + 2)).astype(np.float32).astype(np.float64)
 
 
 def _sign(idf) -> Callable:
