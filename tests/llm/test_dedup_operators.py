@@ -5,7 +5,6 @@ import hashlib
 import itertools
 import math
 import random
-import re
 from collections import defaultdict
 
 import numpy as np
@@ -48,8 +47,7 @@ def prose(rng, n):
 def lines_of(text):
     out = []
     for line in (text or "").split("\n"):
-        t = "".join(c if c.isalpha() else "0" if c.isdigit() else " " for c in line.lower())
-        out.append(" ".join(re.sub("0+", "0", t).split()))
+        out.append(" ".join("".join(c if c.isalnum() else " " for c in line.lower()).split()))
     return out
 
 
@@ -58,10 +56,11 @@ def test_simhash_equals_a_plain_count(spark):
 
     rng = random.Random(1)
     texts = ["a", "x y", prose(rng, 9), prose(rng, 700), prose(rng, 128), prose(rng, 127)]
-    got = line_dedup._with_simhash(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = line_dedup.simhash(line_dedup._words(rows, ["t"]), ["t"]).collect()
     for r in got:
-        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in r.t.split(" ")]
-        assert r.sim % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+        hs = [(xxhash.xxh64_intdigest(w.encode(), 42), min(len(w), 16) ** 2) for w in r.t.split(" ")]
+        assert r.sim % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(g * (h >> b & 1) for h, g in hs) > sum(g for _, g in hs))
 
 
 def test_line_dedup_drops_exact_and_near_lines_once(spark):
@@ -86,7 +85,8 @@ def test_line_dedup_drops_exact_and_near_lines_once(spark):
 
 def test_line_dedup_finds_all_pairs_within_three_bits(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    lines = line_dedup._with_simhash(line_dedup._lines(df, "doc_id", "text").withColumn("lid", F.xxhash64("t")), "t").select("lid", "t", "sim").dropDuplicates(["lid"]).collect()
+    lines = line_dedup._lines(df, "doc_id", "text").withColumn("lid", F.xxhash64("t")).select("lid", "t").dropDuplicates(["lid"])
+    lines = line_dedup.simhash(line_dedup._words(lines, ["lid", "t"]), ["lid", "t"]).collect()
     drops = line_dedup.find_dropped(df).select("d", F.explode("drops").alias("pos"))
     occ = line_dedup._lines(df, "doc_id", "text").withColumn("lid", F.xxhash64("t")).select("d", "pos", "lid")
     gone = {r.lid for r in occ.join(drops, ["d", "pos"]).collect()}
