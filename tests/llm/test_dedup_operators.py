@@ -97,6 +97,18 @@ def test_line_dedup_finds_all_pairs_within_three_bits(spark, sf):
                 assert not (a.lid in stays and b.lid in stays) or a.lid in gone or b.lid in gone
 
 
+def typo(rng, line):
+    i = rng.choice([i for i, c in enumerate(line) if c != " "])
+    return line[:i] + "z" + line[i + 1 :]
+
+
+def test_line_dedup_finds_lines_with_one_letter_changed(spark):
+    rng = random.Random(8)
+    base = [prose(rng, 10) for _ in range(150)]
+    got = line_dedup.find_dropped(docs(spark, ["\n".join(base), "\n".join(typo(rng, b) for b in base)])).collect()
+    assert {r.d: len(r.drops) for r in got} == {1: 150}
+
+
 def weighted_similarity(a, b, idf):
     return minhash.similarity(minhash.weighted(a, idf), minhash.weighted(b, idf))
 
