@@ -109,6 +109,13 @@ def test_line_dedup_finds_lines_with_one_letter_changed(spark):
     assert {r.d: len(r.drops) for r in got} == {1: 150}
 
 
+def test_line_dedup_finds_short_lines_with_one_letter_changed(spark):
+    rng = random.Random(9)
+    base = [prose(rng, 3) for _ in range(100)] + ["".join(rng.choices("abcdefgh", k=k % 20 + 5)) for k in range(100)]
+    got = line_dedup.find_dropped(docs(spark, ["\n".join(base), "\n".join(typo(rng, b) for b in base)])).collect()
+    assert {r.d: len(r.drops) for r in got} == {1: 200}
+
+
 def weighted_similarity(a, b, idf):
     return minhash.similarity(minhash.weighted(a, idf), minhash.weighted(b, idf))
 
