@@ -116,6 +116,18 @@ def test_line_dedup_finds_short_lines_with_one_letter_changed(spark):
     assert {r.d: len(r.drops) for r in got} == {1: 200}
 
 
+def test_long_lines_are_compared_by_characters(spark):
+    rng = random.Random(10)
+    words = prose(rng, 200).split()
+    letters = " ".join(w[:-1] + "z" if i % 4 == 0 else w for i, w in enumerate(words))
+    longest = sorted(range(200), key=lambda i: -len(words[i]))[:39]
+    replaced = " ".join("z" * len(w) if i in longest else w for i, w in enumerate(words))
+    base = " ".join(words)
+    rows = spark.createDataFrame([(base, letters), (base, replaced)], "ta string, tb string").select(line_dedup._similar(0.8).alias("ok")).collect()
+    want = [1 - distance(base, x) / max(len(base), len(x)) >= 0.8 for x in (letters, replaced)]
+    assert [r.ok for r in rows] == want == [True, False]
+
+
 def weighted_similarity(a, b, idf):
     return minhash.similarity(minhash.weighted(a, idf), minhash.weighted(b, idf))
 
