@@ -329,3 +329,12 @@ def test_pipeline_stages_on_odd_rows(spark, sf):
     again = df.unionByName(df.limit(5))
     kept = corpus_pipeline.dedup_documents(spark, again, sf).collect()
     assert len([r for r in kept if r.text == "same"]) == 1
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark, sf):
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    texts = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c), (0, c + " x")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, df, sf).collect())
+    assert got == sorted([(1, a), (1, b), (0, c + " x")])
