@@ -6,14 +6,19 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that removes a query's shuffle files when the query ends; a lost one is made anew by its stage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, that all executors see.
 
-    Only where the setting is unset (tests, a local session) does this make a folder of its own.
+    Where the setting is unset, a local session (tests) gets a folder of its own; on a cluster this raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         base = tempfile.mkdtemp(prefix="partita-")
         spark.conf.set("spark.checkpoint.dir", base)
     sc = spark.sparkContext
@@ -56,6 +63,20 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside give their shuffle files back when they end. For queries whose result is written."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as Parquet into the shared folder: a lineage cut that survives lost executors.
 
@@ -64,10 +85,27 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with dropping_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Tables:
+    """Tables written for one result. drop() removes a table when its last reader has run; the rest go with the driver's Python."""
+
+    def __init__(self) -> None:
+        self.at: dict[int, tuple[SparkSession, str]] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        self.at[id(out)] = (df.sparkSession, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(*self.at.pop(id(t)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder."""
     shared_dir(df.sparkSession)
@@ -99,6 +137,23 @@ def stream_groups(keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame]):
     return run
 
 
-def released(df: DataFrame) -> None:
-    """Lets the JVM collect what finished steps left, so that their shuffle files leave the executors' disks before the next step."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+def slices(col: pa.Array, most: int = 1 << 26) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a string column whose bytes together are at most `most`, a longer one by itself."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0))
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct, so that columns joined to it can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def unpacked(columns: list[str], name: str = "row") -> list[Column]:
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
