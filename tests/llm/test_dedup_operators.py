@@ -60,17 +60,16 @@ def described(texts):
 
 def test_simhash_and_anchors_equal_a_plain_count():
     rng = random.Random(1)
-    texts = ["a", "x y", prose(rng, 9), prose(rng, 700), prose(rng, 128), f"{prose(rng, 127)}\n\n ... \n{prose(rng, 3)}"]
+    texts = ["a", "x y", prose(rng, 9), prose(rng, 700), "ab cd ab " * 21000, prose(rng, 128), f"{prose(rng, 127)}\n\n ... \n{prose(rng, 3)}"]
     got = described(texts)
     want = [(i, pos, x) for i, t in enumerate(texts) for pos, x in enumerate(lines_of(t)) if x]
     assert [(r["d"], r["pos"], r["n"]) for r in got] == [(i, pos, len(x)) for i, pos, x in want]
     hashes = lambda w: int(line_dedup._words(w)[3][0])
-    mix = lambda h: int(line_dedup._mix(np.array([h], np.uint64) + line_dedup._GOLD)[0])
     for r, (_, _, x) in zip(got, want, strict=True):
         hs = [hashes(w) for w in x.split(" ")]
-        wide = [h.to_bytes(8, "little") + mix(h).to_bytes(8, "little") for h in hs]
-        bits = np.array([np.unpackbits(np.frombuffer(w, np.uint8)) for w in wide])
-        assert (np.packbits(2 * bits.sum(0) > len(hs)).view(np.int64) == [r["sim0"], r["sim1"]]).all()
+        second = [int(line_dedup._mix(np.array([h], np.uint64) + line_dedup._GOLD)[0]) for h in hs]
+        for side, each in (("sim0", hs), ("sim1", second)):
+            assert r[side] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each))
         best = [0] * 4
         for h, w in zip(hs, x.split(" "), strict=True):
             kind = h * int(line_dedup._GOLD) % (1 << 64) >> 62
@@ -161,17 +160,41 @@ def test_line_dedup_finds_short_lines_with_one_letter_changed(spark):
     assert {r.d: len(r.drops) for r in got} == {1: 200}
 
 
-def test_long_lines_are_compared_by_characters(spark):
+def test_long_lines_are_compared_by_characters():
     rng = random.Random(10)
     words = prose(rng, 200).split()
     letters = " ".join(w[:-1] + "z" if i % 4 == 0 else w for i, w in enumerate(words))
     longest = sorted(range(200), key=lambda i: -len(words[i]))[:39]
     replaced = " ".join("z" * len(w) if i in longest else w for i, w in enumerate(words))
     base = " ".join(words)
-    rows = spark.createDataFrame([(base, letters), (base, replaced)], "ta string, tb string")
-    rows = rows.select(line_dedup.similar(F.col("ta"), F.col("tb"), 0.8).alias("ok")).collect()
     want = [1 - distance(base, x) / max(len(base), len(x)) >= 0.8 for x in (letters, replaced)]
-    assert [r.ok for r in rows] == want == [True, False]
+    assert [line_dedup.near(base, x) for x in (letters, replaced)] == want == [True, False]
+
+
+def test_edit_similarity_equals_a_plain_table():
+    rng = random.Random(11)
+    for _ in range(400):
+        a = prose(rng, rng.randint(0, 25))
+        w = a.split(" ")
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randrange(len(w) + 1)
+            w[i : i + rng.randint(0, 1)] = [prose(rng, 1)] * rng.randint(0, 2)
+        b = " ".join(w)
+        b = typo(rng, b) if rng.random() < 0.5 and b.strip() else b
+        d = distance(a, b)
+        assert line_dedup.edit_distance(a, b) == d
+        assert line_dedup._at_least(a, b) <= d <= line_dedup._at_most(a, b)
+        assert line_dedup.near(a, b) == (d <= max(len(a), len(b)) * 0.2 + 1e-9)
+
+
+def test_shared_blocks(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 256, (400, 16)), rng.integers(0, 256, (400, 16))
+    y = np.where(x == y, x ^ 1, y)
+    y[::2, 3] = x[::2, 3]
+    sims = [z.astype(np.uint8).view(np.int64).tolist() for z in (x, y)]
+    df = spark.createDataFrame([(tuple(a), tuple(b)) for a, b in zip(*sims, strict=True)], "a struct<sim0:long,sim1:long>, b struct<sim0:long,sim1:long>")
+    assert [r.ok for r in df.select(line_dedup.share_block("a", "b").alias("ok")).collect()] == [True, False] * 200
 
 
 def test_line_dedup_ties_repeated_rows_and_clashing_columns(spark):
