@@ -16,22 +16,55 @@ import hashlib
 import heapq
 import math
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import table
+from .common import slices, table
 
 SPACE = "▁"
-#: Entries of the tables of words and of token pairs in each worker; a full table starts anew.
-MEMO = 1 << 19
+#: Bytes that the table of words may take in each worker, and entries of that of token pairs; a full table starts anew.
+WORD_BYTES, PAIRS = 32 << 20, 1 << 17
+#: Bytes of text that are encoded before a batch is handed on; a longer text is a batch by itself.
+SLICE = 1 << 22
+
+
+USER_DEFINED = 4
+
+
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (raw[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+        if raw[at - 1] < 128:
+            return value, at
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a protobuf message's fields."""
+    at = 0
+    while at < len(raw):
+        tag, at = _varint(raw, at)
+        if tag & 7 == 0:
+            value, at = _varint(raw, at)
+        else:
+            size, at = _varint(raw, at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = raw[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def piece_types(model: bytes) -> list[int]:
+    """The type of each piece (field 1 of the model, field 3 of a piece; 1, normal, where it is not given)."""
+    return [next((v for n, v in _fields(piece) if n == 3), 1) for number, piece in _fields(model) if number == 1]
 
 
 class PrefixTableEncoder:
@@ -40,13 +73,14 @@ class PrefixTableEncoder:
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         n = sp.vocab_size()
         pieces = [sp.id_to_piece(i) for i in range(n)]
+        kinds = piece_types(sp.serialized_model_proto())
         self.bytes = [-1] * 256
         self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         for i, p in enumerate(pieces):
             if sp.is_byte(i):
                 self.bytes[int(p[3:5], 16)] = i
-            elif sp.is_unused(i) or (not sp.is_control(i) and not sp.is_unknown(i) and sp.get_score(i) == 0 and i > n):
+            elif sp.is_unused(i) or kinds[i] == USER_DEFINED:
                 raise ValueError("models with unused or user-defined pieces are not supported")
             elif not sp.is_control(i) and not sp.is_unknown(i):
                 self.ids[p], self.score[p] = i, sp.get_score(i)
@@ -71,7 +105,8 @@ class PrefixTableEncoder:
                 self.left[i] = [(k, first) for k, first, _ in steps]
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.words_bytes = 0
 
     def _merged(self, s: str, steps: list | None = None) -> list[str]:
         """The library's merging, for short strings: best score first, then leftmost. steps gets (key, first, last symbol)."""
@@ -101,7 +136,7 @@ class PrefixTableEncoder:
         """Whether token b can follow token a."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) >= MEMO:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             ok = self.pairs[a, b] = self._apart(self.name[a][-1], self.right[a], self.name[b][0], self.left[b])
         return ok
@@ -151,28 +186,42 @@ class PrefixTableEncoder:
             i -= width[i]
         return out[::-1]
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids without begin and end; None: those of the empty text."""
+    def encode_packed(self, text: str | None) -> bytes:
+        """Ids without begin and end as little-endian 32-bit integers; None: those of the empty text."""
         if not text:
-            return []
+            return b""
         s = self.sp.normalize(text)
         if not self.by_words:
-            return self._word(s)
+            return np.asarray(self._word(s), "<i4").tobytes()
         words, out = self.words, []
         for w in self.cutter.findall(s):
             ids = words.get(w)
             if ids is None:
-                ids = self._word(w)
+                got = self._word(w)
+                ids = struct.pack(f"<{len(got)}i", *got)
                 if len(w) <= 64:
-                    if len(words) >= MEMO:
+                    if self.words_bytes >= WORD_BYTES:
                         words.clear()
+                        self.words_bytes = 0
                     words[w] = ids
-            out += ids
-        return out
+                    self.words_bytes += 200 + 4 * len(w) + len(ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        """Ids without begin and end; None: those of the empty text."""
+        return np.frombuffer(self.encode_packed(text), "<i4").tolist()
+
+    def encode_whole(self, text: str | None) -> bytes:
+        """encode_packed with begin and end."""
+        return b"".join((struct.pack("<i", self.bos), self.encode_packed(text), struct.pack("<i", self.eos)))
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
 
+    def decode_packed(self, ids: bytes) -> str:
+        return self.sp.decode(np.frombuffer(ids, "<i4").tolist())
+
 
 @lru_cache(maxsize=2)
 def encoder(model_file: str) -> PrefixTableEncoder:
@@ -185,55 +234,59 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _over(model_file: str, text: str, make):
-    """mapInPandas function over id column and text; make(encoder, texts) -> dict of columns."""
+def _over(model_file: str, make) -> Callable:
+    """mapInArrow function over columns and, last, the text; make(encoder, texts) -> arrays. Batches are cut by bytes of text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
-        for pdf in batches:
-            texts = [None if t is None or t != t else t for t in pdf[text]]
-            yield pd.DataFrame({**{c: pdf[c] for c in pdf.columns if c != text}, **make(enc, texts)})
+        for rb in batches:
+            for start, end in slices(rb.column("text"), SLICE):
+                part = rb.slice(start, end - start)
+                made = make(enc, part.column("text").to_pylist())
+                names = [*part.schema.names[:-1], *made]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made.values()], names)
 
     return run
 
 
-def _full(enc: PrefixTableEncoder, t: str | None) -> list[int]:
-    return [enc.bos, *enc.encode(t), enc.eos]
+def _ids_and_text(enc: PrefixTableEncoder, texts: list[str | None]) -> dict[str, pa.Array]:
+    packed = [enc.encode_whole(t) for t in texts]
+    decoded = pa.array((enc.decode_packed(x) for x in packed), pa.string(), size=len(packed))
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+    ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+    return {"ids": pa.ListArray.from_arrays(pa.array(offsets), ids), "decoded": decoded}
 
 
 def encode_texts(df: DataFrame, text: str = "text", out: str = "ids", model_file: str | None = None) -> DataFrame:
     """df with array<int> ids of each whole text, begin and end ids included, and decoded string.
 
-    Null or empty text: begin and end only, decoded to the empty string. Columns named like the results are replaced.
-    Repeated rows are encoded each; no rows: no rows.
+    Null or empty text: begin and end only, decoded to the empty string. Columns named like the results are replaced, any other
+    names stay. Repeated rows are encoded each; no rows: no rows. Texts are held a few megabytes at a time, a longer one by itself
+    and whole: a worker needs some 20 bytes a character of the longest text.
     """
     rest = [f for f in df.schema.fields if f.name not in (out, "decoded")]
-    base = df.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text}`").alias("_encode_text"))
+    named = [StructField(f"c{i}", f.dataType) for i, f in enumerate(rest)]
+    base = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], F.col(f"`{text}`").alias("text"))
+    schema = StructType([*named, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    got = base.mapInArrow(_over(model_file or default_model(), _ids_and_text), schema)
+    return got.toDF(*[f.name for f in rest], out, "decoded")
 
-    def make(enc, texts):
-        ids = [_full(enc, t) for t in texts]
-        return {out: ids, "decoded": [enc.decode(i) for i in ids]}
 
-    schema = StructType([*rest, StructField(out, ArrayType(IntegerType())), StructField("decoded", StringType())])
-    return base.mapInPandas(_over(model_file or default_model(), "_encode_text", make), schema)
+def _digests(enc: PrefixTableEncoder, texts: list[str | None]) -> dict[str, pa.Array]:
+    n, ids_sha, text_sha = [], [], []
+    for t in texts:
+        ids = enc.encode_whole(t)
+        n.append(len(ids) // 4)
+        ids_sha.append(hashlib.sha256(ids).hexdigest())
+        text_sha.append(hashlib.sha256(enc.decode_packed(ids).encode()).hexdigest())
+    return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
 
 
 def token_digests(df: DataFrame, text: str = "text", model_file: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: as encode_texts, with digests made where the ids are made."""
-
-    def make(enc, texts):
-        n, ids_sha, text_sha = [], [], []
-        for t in texts:
-            ids = _full(enc, t)
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
-            text_sha.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-        return {"n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
-
-    return df.select("doc_id", F.col(text).alias("_encode_text")).mapInPandas(
-        _over(model_file or default_model(), "_encode_text", make),
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+    base = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return base.mapInArrow(_over(model_file or default_model(), _digests), schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -44,6 +46,30 @@ def test_pair_test_equals_merging_the_pair():
         assert enc._apart(x[-1], enc.right[a], y[0], enc.left[b]) == (enc._merged(x + y) == [x, y])
 
 
+def test_user_defined_pieces_are_refused(monkeypatch):
+    lib = library()
+    kinds = sp.piece_types(lib.serialized_model_proto())
+    assert len(kinds) == lib.vocab_size()
+    for i, k in enumerate(kinds):
+        assert (k == 6, k == 3, k == 2, k == 5) == (lib.is_byte(i), lib.is_control(i), lib.is_unknown(i), lib.is_unused(i))
+    monkeypatch.setattr(sp, "piece_types", lambda model: [*kinds[:-1], sp.USER_DEFINED])
+    with pytest.raises(ValueError, match="user-defined"):
+        sp.PrefixTableEncoder(sp.default_model())
+
+
+def test_sentencepiece_clashing_columns_and_cut_batches(spark, monkeypatch):
+    names = ["c0", "c1", "_encode_text", "t", "ids", "decoded"]
+    df = spark.createDataFrame([(i, f"some text {i}") for i in range(50)], "doc_id long, text string")
+    got = sp.encode_texts(df.select("doc_id", "text", *[F.lit(7).alias(n) for n in names]))
+    assert got.columns == ["doc_id", "text", *names[:4], "ids", "decoded"]
+    assert all(r.c0 == r.t == 7 and r.decoded == r.text == f"some text {r.doc_id}" for r in got.collect())
+    rb = pa.RecordBatch.from_pydict({"i": list(range(5)), "text": ["a" * 9, None, "b" * 30, "", "c"]})
+    whole = pa.Table.from_batches(sp._over(sp.default_model(), sp._ids_and_text)([rb])).to_pylist()
+    monkeypatch.setattr(sp, "SLICE", 10)
+    cut = list(sp._over(sp.default_model(), sp._ids_and_text)([rb]))
+    assert len(cut) == 3 and pa.Table.from_batches(cut).to_pylist() == whole
+
+
 def test_sentencepiece_odd_texts(spark):
     lib = library()
     got = {r.doc_id: r for r in sp.encode_texts(docs(spark, ODD)).collect()}
