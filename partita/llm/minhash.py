@@ -1,14 +1,17 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Shingles are five lower-cased words, as 64-bit hashes. A shingle weighs tf * idf; document frequencies are counted over all documents in
-BUCKETS hashed places (fixed size, so they can be sent to all tasks), and idf = 1 + SPAN * ln((1+N)/(1+df)) / ln(2+N), so that what thousands
-of copies share still counts: plain idf would part large groups of near copies from themselves. A signature holds BANDS * ROWS consistent weighted samples; two texts of weighted Jaccard
-similarity s agree in each with probability s.
-
-Texts with equal words are one from the start. In every bucket (band, samples) each text is compared with the bucket's smallest id; that alone
-joins a group of near copies in linear time. Where a bucket then still holds texts outside its first text's component, these are held
-against all texts of the bucket whose signatures agree often enough, cell by cell. Every candidate pair is verified on
-the whole texts.
+Shingles are five lower-cased words, as 64-bit hashes. A shingle weighs tf * idf with idf = 1 + ln((1+N)/(1+df)) / ln(2+N), which is the
+usual smoothed idf with its logarithm scaled to 0..1 at any N: unscaled, what thousands of copies share would weigh a fifth of
+what one copy alone has, and large groups of near copies would part. Document frequencies are counted over all documents in
+PLACES hashed places, less what other shingles add to a place on average; what is left of that has a standard error of sqrt(T / PLACES) for
+T shingles in all, so that frequencies are told apart down to it: with N, ln(N / df) is right up to half of ln N and beyond.
+A signature holds BANDS * ROWS consistent weighted samples; two texts of weighted Jaccard similarity s agree in each with probability s.
+
+Texts with equal words are one from the start. In every bucket (band, samples) each text is compared with the bucket's head: the text whose
+buckets are largest together (ties: smallest id), as that is nearest to the middle of a group of near copies. That alone
+joins a group in linear time. Where a bucket then still holds texts outside its head's component, these are held
+against all texts of the bucket, cell by cell: a cell multiplies its texts' shingle weights and returns a link for each two components
+that it joins, so neither rows nor links are as many as pairs. Every candidate pair is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ from .components import connected
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 9, 3
-BUCKETS = 1 << 18
-#: idf lies between 1 and 1 + SPAN.
-SPAN = 0.25
+#: Places that document frequencies are counted in: what is sent to all tasks, whatever the input.
+PLACES = 1 << 20
 #: Draws that the samples' random variates are taken from.
 POOL = 1 << 16
-#: Of BANDS * ROWS samples so many must agree for a second-round pair: similarity 0.8 gives fewer once in a million.
-AGREE = 10
-CELL = 512
+#: Shingles of the texts that a second-round cell holds on each side.
+CELL = 250_000
+#: Shingles that a cell multiplies at a time.
+STEP = 4096
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _ODD = np.array([(2 * k + 1) * _GOLD % (1 << 64) for k in range(1, 65)], np.uint64)
@@ -71,7 +74,7 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 def weighted(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles ascending and their weights."""
     h, tf = np.unique(shingles(words), return_counts=True)
-    return h, tf * idf[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    return h, tf * idf[(h & np.uint64(PLACES - 1)).astype(np.int64)]
 
 
 @lru_cache(maxsize=1)
@@ -119,34 +122,35 @@ def _lists(col: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = np.zeros(BUCKETS, np.int64), 0
+    total, n = np.zeros(PLACES, np.int64), 0
     for rb in batches:
         for words in _lists(rb.column("w")):
             n += 1
             if len(words):
-                total[np.unique(shingles(words) & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
+                total[np.unique(shingles(words) & np.uint64(PLACES - 1)).astype(np.int64)] += 1
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
 
 
 def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """idf per hashed place, from all documents: BUCKETS numbers, whatever the input."""
+    """idf per hashed place, from all documents: PLACES numbers, whatever the input."""
     counts = docs.select(word_hashes(F.col(text)).alias("w")).mapInArrow(_count_buckets, "bucket long, n long")
-    got = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS + 1 rows at most
-    df = np.zeros(BUCKETS, np.int64)
+    got = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # PLACES + 1 rows at most
+    total = np.zeros(PLACES, np.int64)
     rest = got[got["bucket"] >= 0]
-    df[rest["bucket"].to_numpy(np.int64)] = rest["n"].to_numpy(np.int64)
+    total[rest["bucket"].to_numpy(np.int64)] = rest["n"].to_numpy(np.int64)
     n = int(got.loc[got["bucket"] < 0, "n"].sum())
-    return (1 + SPAN * np.log((1 + n) / (1 + df)) / math.log(n + 2)).astype(np.float32).astype(np.float64)
+    df = np.maximum(total - total.sum() / PLACES, 1)
+    return (1 + np.log((1 + n) / (1 + df)) / math.log(n + 2)).astype(np.float32).astype(np.float64)
 
 
 def _sign(idf) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             sig = [signature(*weighted(w, idf.value)).view(np.int64) if len(w) else None for w in _lists(rb.column("w"))]
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), rb.column("k1"), rb.column("k2"), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "sig"]
-            )
+            size = pa.array([len(w) for w in _lists(rb.column("w"))], pa.int64())
+            columns = [rb.column("doc_id"), rb.column("k1"), rb.column("k2"), size, pa.array(sig, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_words", "sig"])
 
     return run
 
@@ -166,41 +170,99 @@ def _verify(idf, threshold: float) -> Callable:
     return run
 
 
-def _pairs_in_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Second round: outsiders of one cell against the bucket's texts of another, where signatures agree and components differ."""
-    left, right = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-    if left.empty or right.empty:
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    x, y = np.stack(left["sig"].to_numpy()), np.stack(right["sig"].to_numpy())
-    agree = np.zeros((len(x), len(y)), np.int16)
-    for k in range(x.shape[1]):
-        agree += x[:, k][:, None] == y[:, k][None, :]
-    i, j = np.nonzero((agree >= AGREE) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]))
-    a, b = left["rid"].to_numpy()[i], right["rid"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+def _expanded(words: np.ndarray) -> np.ndarray:
+    """The shingles as a set: the k-th occurrence of one is a value of its own, with the place of the shingle in its low bits."""
+    h, tf = np.unique(shingles(words), return_counts=True)
+    low = h & np.uint64(PLACES - 1)
+    if (tf > 1).any():
+        nth = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        h, low = np.repeat(h, tf) + nth.astype(np.uint64) * _ODD[40], np.repeat(low, tf)
+        h = np.where(nth > 0, _mix(h), h)
+    return (h & ~np.uint64(PLACES - 1)) | low
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Sums of the weights that each of left has in common with each of right, in single precision."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    row = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    value = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(*value)
+    sides = []
+    for r, v in zip(row, value, strict=True):
+        at = np.searchsorted(common, v)
+        hit = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == v) if len(common) else np.zeros(len(v), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((r[hit][order], at[hit][order]))
+    weight = idf[(common & np.uint64(PLACES - 1)).astype(np.int64)].astype(np.float32)
+    for start in range(0, len(common), STEP):
+        block = []
+        for (r, at), x in zip(sides, (left, right), strict=True):
+            s, e = np.searchsorted(at, [start, start + STEP])
+            m = np.zeros((len(x), min(STEP, len(common) - start)), np.float32)
+            m[r[s:e], at[s:e] - start] = 1
+            block.append(m)
+        out += (block[0] * weight[start : start + STEP]) @ block[1].T
+    return out
+
+
+def _links_in_cell(idf, threshold: float) -> Callable:
+    """Second round: outsiders of one cell (role 0) against the bucket's texts of another (role 1); a link for each two components that meet."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
+        if left.empty or right.empty:
+            return none
+        words = [[np.asarray(w, np.int64) for w in x["w"]] for x in (left, right)]
+        sets = [[_expanded(w) for w in x] for x in words]
+        total = [np.array([idf.value[(v & np.uint64(PLACES - 1)).astype(np.int64)].sum() for v in x]) for x in sets]
+        low = overlaps(*sets, idf.value)
+        near = low / (total[0][:, None] + total[1][None, :] - low)
+        comp = [x["comp"].to_numpy() for x in (left, right)]
+        i, j = np.nonzero((near >= threshold - 1e-4) & (comp[0][:, None] != comp[1][None, :]))
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                x = parent[x] = parent[up]
+            return x
+
+        rid = [x["rid"].to_numpy() for x in (left, right)]
+        out = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = find(int(comp[0][x])), find(int(comp[1][y]))
+            if p != q and similarity(weighted(words[0][x], idf.value), weighted(words[1][y], idf.value)) >= threshold:
+                parent[max(p, q)] = min(p, q)
+                out.append((min(rid[0][x], rid[1][y]), max(rid[0][x], rid[1][y])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else none
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, class_id (smallest id of its group of near duplicates), kept (it is that one).
 
-    Null, empty or blank text: similar to nothing. Fewer than five words: one shingle. A row without id is similar to nothing,
-    has no class and is kept. Rows of one id are one document. No rows: no rows. Other columns are left out.
+    Null, empty or blank text: similar to nothing. Fewer than five words: one shingle. Very long texts are taken whole; a worker
+    needs some 100 bytes a word of the longest. Ties: the smallest id of a group stays. A row without id is similar to nothing,
+    has no class and is kept. Rows of one id are one document. No rows: no rows. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
     idf = spark.sparkContext.broadcast(idf_table(rows, "t"))
     hashed = rows.select("doc_id", word_hashes(F.col("t")).alias("w")).select("doc_id", "w", F.xxhash64("w").alias("k1"), F.hash("w").cast("long").alias("k2"))
-    signed, _ = written(hashed.mapInArrow(_sign(idf), "doc_id long, k1 long, k2 long, sig array<long>"), "signatures")
+    signed, _ = written(hashed.mapInArrow(_sign(idf), "doc_id long, k1 long, k2 long, n_words long, sig array<long>"), "signatures")
     live = signed.where("doc_id is not null and sig is not null")
-    reps, _ = written(live.groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"), F.min_by("sig", "doc_id").alias("sig")), "texts")
+    reps, _ = written(live.groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_words").alias("n_words")), "texts")
     band = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.struct(i.alias("band"), F.xxhash64(*[F.get(F.col("sig"), i * ROWS + j) for j in range(ROWS)]).alias("h")),
     )
     bands, _ = written(reps.select("rid", F.explode(band).alias("x")).select("x.band", "x.h", "rid"), "bands")
-    buckets = bands.groupBy("band", "h").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets, _ = written(buckets, "buckets")
-    member, _ = written(bands.join(buckets, ["band", "h"]), "members")
+    sizes = bands.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared, _ = written(bands.join(sizes, ["band", "h"]), "shared")
+    rank = shared.groupBy("rid").agg(F.sum("n").alias("met"))
+    heads = shared.join(rank, "rid").groupBy("band", "h").agg(F.max(F.struct("met", (-F.col("rid")).alias("least"))).alias("head"))
+    member, _ = written(shared.join(heads.select("band", "h", (-F.col("head.least")).alias("head")), ["band", "h"]), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("t").alias(f"t{x}")).where(F.col(x).isNotNull())
@@ -208,24 +270,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         both = both.select("a", "b", word_hashes(F.col("ta")).alias("wa"), word_hashes(F.col("tb")).alias("wb"))
         return written(both.mapInArrow(_verify(idf, threshold), "a long, b long, ok boolean"), "verified")[0]
 
-    first = verified(member.where("rid > head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct())
+    first = verified(member.where("rid <> head").select(F.least("rid", "head").alias("a"), F.greatest("rid", "head").alias("b")).distinct())
     parts, _ = written(connected(first.where("ok")), "parts")
     labelled = member.join(parts.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
     heads = labelled.where("rid = head").select("band", "h", F.col("comp").alias("head_comp"))
     labelled = labelled.join(heads, ["band", "h"])
-    away = labelled.where("comp <> head_comp").groupBy("band", "h").agg(F.count(F.lit(1)).alias("outsiders"))
-    open_ = labelled.join(away, ["band", "h"]).join(reps.select("rid", "sig"), "rid")
-    cells = lambda n: F.greatest(F.ceil(F.col(n) / CELL), F.lit(1)).cast("int")
-    spot = lambda n: F.pmod(F.xxhash64("rid"), cells(n)).cast("int")
-    lefts = open_.where("comp <> head_comp").withColumn("ci", spot("outsiders")).withColumn("cj", F.explode(F.sequence(F.lit(0), cells("n") - 1)))
-    rights = open_.withColumn("cj", spot("n")).withColumn("ci", F.explode(F.sequence(F.lit(0), cells("outsiders") - 1)))
-    cols = ["band", "h", "ci", "cj", "rid", "comp", "sig"]
-    facing = lefts.select(*cols, F.lit(0).alias("role")).unionByName(rights.select(*cols, F.lit(1).alias("role")))
-    keys = ["band", "h", "ci", "cj"]
-    pairs = facing.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream_groups(keys, _pairs_in_cell), "a long, b long").distinct()
-    pairs, _ = written(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    second = verified(pairs) if pairs.limit(1).count() else first.limit(0)
-    whole = connected(first.unionByName(second).where("ok"))
+    sized = reps.select("rid", F.greatest(F.col("n_words") - SHINGLE + 1, F.lit(1)).alias("size"))
+    sized = labelled.join(sized, "rid")
+    away = sized.groupBy("band", "h").agg(F.sum(F.when(F.col("comp") != F.col("head_comp"), F.col("size"))).alias("left"), F.sum("size").alias("right"))
+    open_, _ = written(sized.join(away.where("left is not null"), ["band", "h"]), "open")
+    if not open_.limit(1).count():
+        whole = parts
+    else:
+        cells = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+        spot = lambda n: F.pmod(F.xxhash64("rid"), cells(n)).cast("int")
+        lefts = open_.where("comp <> head_comp").withColumn("ci", spot("left")).withColumn("cj", F.explode(F.sequence(F.lit(0), cells("right") - 1)))
+        rights = open_.withColumn("cj", spot("right")).withColumn("ci", F.explode(F.sequence(F.lit(0), cells("left") - 1)))
+        keys = ["band", "h", "ci", "cj"]
+        facing = lefts.select(*keys, "rid", "comp", F.lit(0).alias("role")).unionByName(rights.select(*keys, "rid", "comp", F.lit(1).alias("role")))
+        texts = rows.join(open_.select(F.col("rid").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
+        vectors, _ = written(texts.select(F.col("doc_id").alias("rid"), word_hashes(F.col("t")).alias("w")), "vectors")
+        dealt = facing.join(vectors, "rid").repartition(*keys).sortWithinPartitions(*keys)
+        second, _ = written(dealt.mapInPandas(stream_groups(keys, _links_in_cell(idf, threshold)), "a long, b long").distinct(), "second")
+        whole = connected(first.where("ok").select("a", "b").unionByName(second))
     classes = reps.select("k1", "k2", "rid").join(whole.withColumnRenamed("id", "rid"), "rid", "left")
     classes = classes.select("k1", "k2", F.coalesce("component", "rid").alias("class_id"), F.lit(True).alias("live"))
     out = signed.select("doc_id", "k1", "k2", (F.col("doc_id").isNotNull() & F.col("sig").isNotNull()).alias("live"))

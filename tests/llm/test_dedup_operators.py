@@ -275,6 +275,33 @@ def test_signatures_agree_as_often_as_texts_are_similar():
     assert (minhash.signature(h, w) == minhash.signature(h, w)).all()
 
 
+def test_signatures_of_long_texts_agree_without_bias():
+    """Shingles of long texts share variates (POOL draws): agreement still follows similarity."""
+    rng = np.random.default_rng(2)
+    hits, want = [], []
+    for _ in range(12):
+        h = np.unique(rng.integers(0, 1 << 63, 40000).astype(np.uint64))
+        w = rng.random(len(h)) + 1
+        keep = rng.random(len(h)) < 0.85
+        hits.append((minhash.signature(h, w, 40) == minhash.signature(h[keep], w[keep], 40)).mean())
+        want.append(minhash.similarity((h, w), (h[keep], w[keep])))
+    assert abs(np.mean(hits) - np.mean(want)) < 0.06
+
+
+def test_overlaps_in_cells_equal_the_weighted_similarity():
+    rng = np.random.default_rng(3)
+    idf = 1 + rng.random(minhash.PLACES)
+    texts = [np.repeat(rng.integers(0, 9, rng.integers(1, 60)), rng.integers(1, 4)) for _ in range(40)] + [np.zeros(900, np.int64), np.arange(6000)]
+    sets = [minhash._expanded(t) for t in texts]
+    got = minhash.overlaps(sets, sets, idf)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            (ha, wa), (hb, wb) = minhash.weighted(a, idf), minhash.weighted(b, idf)
+            s = minhash.similarity((ha, wa), (hb, wb))
+            low = got[i, j]
+            assert abs(low / (wa.sum() + wb.sum() - low) - s) < 1e-5
+
+
 def brute_vectors(rows):
     v = {}
     for i, (key, e, label) in enumerate(rows):
