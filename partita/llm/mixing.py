@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, written
+from .common import WORD, cut, packed, table, unpacked, written
 
 MOST = 3.0
 #: Rows of one (source, size) that one task ranks at most, on average.
@@ -53,10 +53,11 @@ def targets(hist: DataFrame, weights=(1, 2, 3), most: float = MOST) -> DataFrame
     )
 
 
-def dual(hist: DataFrame, goal: DataFrame, most: float = MOST, rounds: int = 40, tol: float = 1e-6) -> DataFrame:
+def dual(hist: DataFrame, goal: DataFrame, most: float = MOST, rounds: int = 60, tol: float = 1e-6) -> DataFrame:
     """(source, lam, scale) with sum(size * min(most, exp(lam * size / scale))) = target, by Newton iterations kept within a bracket.
 
     A source at most times its size has lam = inf (rate ``most`` for all); one with target 0 has lam = -inf.
+    Stops with an error if a source's words are not within tol of its target after ``rounds`` rounds.
     """
     scale = hist.groupBy("source").agg(
         (F.sum(F.col("size") * F.col("size") * F.col("n")) / F.greatest(F.sum(F.col("size") * F.col("n")), F.lit(1))).alias("scale")
@@ -66,7 +67,7 @@ def dual(hist: DataFrame, goal: DataFrame, most: float = MOST, rounds: int = 40,
     )
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
     state = state.withColumn("lam", F.when(F.col("source_size") == 0, 0.0).when(full, math.inf).when(F.col("target") <= 0, -math.inf).otherwise(0.0))
-    state = cut(state.withColumn("lo", F.lit(-700.0)).withColumn("hi", F.col("scale") * math.log(most) + 1.0).withColumn("off", F.lit(1.0)))
+    state = cut(state.withColumn("lo", F.lit(-1e6)).withColumn("hi", F.col("scale") * math.log(most) + 1.0).withColumn("off", F.lit(1.0)))
     cells = hist.where("size > 0").select(F.col("source").alias("s"), "size", "n")
     for _ in range(rounds):
         x = F.col("size") / F.col("scale")
@@ -90,8 +91,8 @@ def dual(hist: DataFrame, goal: DataFrame, most: float = MOST, rounds: int = 40,
             )
         )
         if (state.agg(F.max("off")).first()[0] or 0.0) < tol:
-            break
-    return state.select("source", "source_size", "target", "lam", "scale")
+            return state.select("source", "source_size", "target", "lam", "scale")
+    raise RuntimeError(f"the rates have not settled after {rounds} rounds")
 
 
 def _diffuse(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +112,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     """Per document: _key, _source, h (hash of key and text), size, source_size, target, copies.
 
     Null text: size 0, never taken. Null source: a source of its own, last in order. Repeated rows and repeated keys count as
-    documents of their own; equal rows are interchangeable. No rows: no rows. Other columns are left out.
+    documents of their own; equal rows are interchangeable, and ties of size go by the hash. Very long texts count whole. No rows: no
+    rows. Other columns are left out, whatever their names.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), words(text).alias("size"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
     rows, _ = written(rows, "sizes")
@@ -147,13 +149,14 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
 
 def take(docs: DataFrame, mixed: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """The mix itself: each row of docs as often as mix() says. Rows equal in key, text and source share what the mix takes of them."""
-    per = mixed.groupBy("_key", "_source", "h").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0")
-    rows = docs.withColumn("_h", F.xxhash64(F.col(key), F.col(text)))
-    rows = rows.join(per, (F.col("_h") == F.col("h")) & F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_h", key, source).orderBy("_h")))
-    times = F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_i") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    rows = rows.withColumn("_times", times.cast("int")).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in docs.columns])
+    per = mixed.groupBy("_key", "_source", "h").agg(F.sum("copies").alias("every"), F.count(F.lit(1)).alias("rows")).where("every > 0")
+    rows = docs.select(packed(docs), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("hash"))
+    k, s = F.col(f"row.`{key}`"), F.col(f"row.`{source}`")
+    rows = rows.join(per, (F.col("hash") == F.col("h")) & k.eqNullSafe(F.col("_key")) & s.eqNullSafe(F.col("_source")))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("hash", "_key", "_source").orderBy("hash")))
+    times = F.floor(F.col("every") / F.col("rows")) + F.when(F.col("i") <= F.col("every") % F.col("rows"), 1).otherwise(0)
+    rows = rows.withColumn("times", times.cast("int")).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*unpacked(docs.columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

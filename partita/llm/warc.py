@@ -2,7 +2,8 @@
 
 Writing: one record per row. Rows with equal payloads share one response record; the others are revisits of it.
 
-Reading: the files are read by splits at every ``WARC/1.1\\r\\n``, so each piece between two of these is a candidate record.
+Reading: the files are read by splits at every ``WARC/1.``, so each piece between two of these that goes on with ``0\\r\\n`` or
+``1\\r\\n`` is a candidate record (versions 1.0 and 1.1).
 Each task gives its candidates' offsets and those of their successors (from Content-Length). A magic inside a payload
 gives a false candidate. Within a split each candidate's chain is followed to where it leaves the split; between splits
 pointer jumping from the files' starts keeps only the reachable entries; then each split marks what its reachable
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, remove, scratch, table, written
 
-MAGIC = "WARC/1.1\r\n"
+MAGIC = "WARC/1."
+VERSION = "1\r\n"
 EOL = "\r\n"
 DATE = "1970-01-01T00:00:00Z"
 URN = "urn:page:"
@@ -64,7 +66,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
     block = F.when(is_revisit, head).otherwise(F.concat(head, F.col("body")))
     name = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     record = F.concat(
-        F.lit(MAGIC + "WARC-Type: "),
+        F.lit(MAGIC + VERSION + "WARC-Type: "),
         F.when(is_revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit(EOL + "WARC-Record-ID: "),
         name(F.col("id")),
@@ -110,6 +112,7 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
         "value",
         F.octet_length("value").cast("long").alias("len"),
         (F.octet_length("head") + 4).cast("long").alias("body_at"),
+        F.col("value").rlike(r"\A[01]\r\n").alias("versioned"),
         _header("Content-Length").try_cast("long").alias("content"),
         F.lower(_header("WARC-Type")).alias("record_type"),
         _header("WARC-Record-ID").alias("record_id"),
@@ -135,21 +138,20 @@ def _payload(block: Column) -> Column:
     return F.substring(block, F.octet_length(head) + 5, 2147483647)
 
 
-def _located(cands: DataFrame) -> DataFrame:
-    """Adds off (offset of the candidate's magic) and nxt (that of its successor): running lengths within the split, then over splits."""
+def _placed(pieces: DataFrame) -> DataFrame:
+    """Adds off, the offset of each piece's magic: running lengths within the split, then over splits."""
     n = len(MAGIC)
     inside = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    cands = cands.withColumn("before", F.coalesce(F.sum(F.col("len") + n).over(inside), F.lit(0)))
-    blocks = cands.groupBy("file", "block").agg(F.sum(F.col("len") + n).alias("span"))
+    pieces = pieces.withColumn("before", F.coalesce(F.sum(F.col("len") + n).over(inside), F.lit(0)))
+    blocks = pieces.groupBy("file", "block").agg(F.sum(F.col("len") + n).alias("span"))
     over = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", F.coalesce(F.sum("span").over(over), F.lit(0)).alias("from"))
-    off = F.col("from") + F.col("before") - n
-    return (
-        cands.join(blocks, ["file", "block"])
-        .withColumn("off", off)
-        .withColumn("nxt", F.col("off") + n + F.col("body_at") + F.col("content") + 4)
-        .drop("before", "from")
-    )
+    return pieces.join(blocks, ["file", "block"]).withColumn("off", F.col("from") + F.col("before") - n).drop("before", "from")
+
+
+def _located(cands: DataFrame) -> DataFrame:
+    """Adds off (offset of the candidate's magic) and nxt (that of its successor)."""
+    return _placed(cands).withColumn("nxt", F.col("off") + len(MAGIC) + F.col("body_at") + F.col("content") + 4)
 
 
 def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +181,7 @@ def _marked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 def _reachable(located: DataFrame) -> DataFrame:
     """Chain verification: (file, block, seq, off, nxt) of the true records."""
     spark = located.sparkSession
-    slim = located.where("off >= 0 and record_type <> '' and content >= 0").select("file", "block", "seq", "off", "nxt")
+    slim = located.where("off >= 0 and versioned and record_type <> '' and content >= 0").select("file", "block", "seq", "off", "nxt")
     chains = slim.groupBy("file", "block").applyInPandas(_exits, "file string, off long, nxt long")
     chains, chains_at = written(chains, "chains")
     starts = chains.groupBy("file").agg(F.min("off").alias("off")).where("off = 0")
@@ -202,21 +204,36 @@ def _reachable(located: DataFrame) -> DataFrame:
     return out
 
 
+def _complete(located: DataFrame, true: DataFrame) -> None:
+    """Raises where the chain of a file's records ends before the file does (its last record may lack the empty lines after it)."""
+    n = len(MAGIC)
+    ends = located.groupBy("file").agg(F.max(F.col("off") + n + F.col("len")).alias("size")).where("size > 0")
+    last = true.groupBy("file").agg(F.max("nxt").alias("upto"))
+    short = ends.join(last, "file", "left").where("upto is null or upto < size or upto > size + 4").orderBy("file").limit(5).collect()
+    if short:
+        raise RuntimeError("; ".join(f"the records of {r.file} end at byte {r.upto or 0} of {r.size}" for r in short))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files below path: record_id, record_type, refers, url, bytes, digest (of the full payload; for
-    revisits as their headers name it). A payload may hold magics and whole records: they are no records. No files' records: no rows.
+    """The records of all WARC files (1.0 and 1.1, uncompressed) below path: record_id, record_type, refers, url, bytes, digest (of the
+    full payload; for revisits as their headers name it).
+
+    A payload may hold magics and whole records: they are no records. A payload of any length is put together in one row. Rows come in no
+    order; equal records all stay. A file whose chain of records ends before the file (a wrong length, a torn file) stops the query
+    with the offset. Empty files: no rows.
     """
     cands, at = written(_candidates(spark, path), "candidates")
     located, located_at = written(_located(cands), "located")
     remove(spark, at)
     true = _reachable(located)
+    _complete(located, true)
     records = located.drop("off", "nxt").join(true, ["file", "block", "seq"])
     single = records.where("whole")
     broken = records.where("not whole")
     fields = ["record_id", "record_type", "refers", "url", "named", "named_bytes", "bytes", "digest"]
     out = single.select(*fields)
     if broken.limit(1).count():
-        out = out.unionByName(_rejoined(spark, path, located, broken).select(*fields))
+        out = out.unionByName(_rejoined(spark, path, broken).select(*fields))
     revisit = F.col("record_type") == "revisit"
     named = F.regexp_replace("named", "^sha1:", "")
     ok = revisit | (F.col("named") == "") | (F.col("digest") == named)
@@ -230,11 +247,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _rejoined(spark: SparkSession, path: str, located: DataFrame, broken: DataFrame) -> DataFrame:
-    """Records whose payload holds magics: their pieces are put together again, by record."""
+def _rejoined(spark: SparkSession, path: str, broken: DataFrame) -> DataFrame:
+    """Records whose payload holds magics: their pieces are put together again, by record.
+
+    The files that have such records are read once more. That read may be split otherwise, so pieces go by their offsets.
+    """
+    pieces = _pieces(spark, path).join(broken.select("file").distinct(), "file", "left_semi")
+    pieces, _ = written(pieces.withColumn("len", F.octet_length("value").cast("long")), "pieces")
     owners = broken.select("file", F.col("off").alias("own"), F.col("nxt").alias("upto"))
-    places = located.select("file", "block", "seq", "off").where("off >= 0")
-    over = Window.partitionBy("file", "block").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    places = _placed(pieces.select("file", "block", "seq", "len")).where("off >= 0")
     # The last broken record at or before a piece, in its split or in the splits before.
     tagged = places.join(owners, (places["file"] == owners["file"]) & (places["off"] == owners["own"]), "left").select(
         places["file"], "block", "seq", "off", F.last("own", True).over(Window.partitionBy(places["file"], "block").orderBy("off")).alias("own")
@@ -244,7 +265,7 @@ def _rejoined(spark: SparkSession, path: str, located: DataFrame, broken: DataFr
     ends = ends.select("file", "block", F.last("last_own", True).over(before).alias("carried"))
     tagged = tagged.join(ends, ["file", "block"]).select("file", "block", "seq", "off", F.coalesce("own", "carried").alias("own"))
     parts = tagged.join(owners, ["file", "own"]).where("off < upto").select("file", "block", "seq", "off", "own")
-    texts = _pieces(spark, path).join(parts, ["file", "block", "seq"])
+    texts = pieces.join(parts, ["file", "block", "seq"])
     whole = texts.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("off", F.col("value").cast("string").alias("value")))).alias("p"))
     whole = whole.select("file", F.col("own").alias("off"), F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).cast("binary").alias("raw"))
     back = broken.drop("digest", "bytes").join(whole, ["file", "off"])

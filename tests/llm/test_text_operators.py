@@ -134,6 +134,15 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_ties_go_by_the_unescaped_text_and_the_loss_is_cut_by_the_mask(spark):
+    df = spark.createDataFrame([(1, 1, "assistant", "<]"), (1, 1, "assistant", "<|"), (1, 2, "user", "u")], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(df.withColumn("mask", F.lit(1)).withColumn("_found", F.lit(1)))
+    assert [t.text for t in chat.read_chats(made).first().turns] == ["<]", "<|", "u"]
+    moved = F.transform("mask", lambda k, i: F.struct((k["skip"] + F.when(i == 0, 1).otherwise(0)).alias("skip"), k["take"].alias("take"), k["loss"].alias("loss")))
+    with pytest.raises(Exception, match="differ"):
+        chat.read_chats(made.withColumn("mask", moved)).collect()
+
+
 def test_quality_statistics_on_odd_texts(spark):
     texts = [*ODD[:6], "a b c d e f g h a b c d e f g h", " ".join("abcdefg") + " " + " ".join("abcdefgh"), "l one\nl one\n \n \nl two"]
     got = {r.doc_id: r for r in quality.quality_filter(docs(spark, texts)).collect()}
