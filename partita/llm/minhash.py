@@ -33,7 +33,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 9, 3
 #: Places that document frequencies are counted in: what is sent to all tasks, whatever the input.
-PLACES = 1 << 20
+PLACES = 1 << 18
 #: Draws that the samples' random variates are taken from.
 POOL = 1 << 16
 #: Shingles of the texts that a second-round cell holds on each side.

@@ -63,7 +63,7 @@ def test_simhash_and_anchors_equal_a_plain_count():
     texts = ["a", "x y", prose(rng, 9), prose(rng, 700), "ab cd ab " * 21000, prose(rng, 128), f"{prose(rng, 127)}\n\n ... \n{prose(rng, 3)}"]
     got = described(texts)
     want = [(i, pos, x) for i, t in enumerate(texts) for pos, x in enumerate(lines_of(t)) if x]
-    assert [(r["d"], r["pos"], r["n"]) for r in got] == [(i, pos, len(x)) for i, pos, x in want]
+    assert [(r["d"], r["pos"], r["size"]) for r in got] == [(i, pos, len(x)) for i, pos, x in want]
     hashes = lambda w: int(line_dedup._words(w)[3][0])
     for r, (_, _, x) in zip(got, want, strict=True):
         hs = [hashes(w) for w in x.split(" ")]

@@ -143,6 +143,21 @@ def test_chat_ties_go_by_the_unescaped_text_and_the_loss_is_cut_by_the_mask(spar
         chat.read_chats(made.withColumn("mask", moved)).collect()
 
 
+def test_rules_go_by_rejections_per_cost(spark):
+    df = spark.createDataFrame([(i, f"word {i} " * (30 if i % 4 else 3)) for i in range(400)], "doc_id long, text string")
+    slow = quality.Rule("slow", lambda t: F.regexp_count(F.repeat(t, 40), F.lit(r"(w|o|r|d)+ \\d")) < 0)
+    half = quality.Rule("half", lambda t: F.col("doc_id") % 2 == 0)
+    costly = quality.Rule("costly", lambda t: (F.regexp_count(F.repeat(t, 40), F.lit(r"(w|o|r|d)+ \\d")) < 0) | (F.col("doc_id") % 2 == 0))
+    assert [r.name for r in quality.order_rules(df, (slow, costly, half))] == ["half", "costly", "slow"]
+
+
+def test_quality_with_clashing_columns(spark):
+    names = ["_h", "_l", "_k", "_p", "row", "t", "kept"]
+    df = docs(spark, ["a b c", None]).select("doc_id", "text", *[F.lit(7).alias(n) for n in names])
+    got = quality.quality_filter(df).collect()
+    assert all(r._h == r.row == r.t == 7 and r.kept is False for r in got)
+
+
 def test_quality_statistics_on_odd_texts(spark):
     texts = [*ODD[:6], "a b c d e f g h a b c d e f g h", " ".join("abcdefg") + " " + " ".join("abcdefgh"), "l one\nl one\n \n \nl two"]
     got = {r.doc_id: r for r in quality.quality_filter(docs(spark, texts)).collect()}
