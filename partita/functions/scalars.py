@@ -67,11 +67,13 @@ def multiplicative_penalty(a: Column, b: Column, opposite: float = 0.55, weak: f
     return F.when(relation == "opposite_flank", opposite).when(relation == "mixed", weak).otherwise(1.0)
 
 
-def context_factor(a: Column, b: Column, kind_a: Column, kind_b: Column) -> Column:
-    """0 if blocked; 1.05 for equal sides, 0.92 for a weak pose; body kinds 1.04 equal, 0.88 different."""
-    relation = orientation_relation(a, b)
-    side = F.when(relation == "same_flank", 1.05).when(relation == "mixed", 0.92).otherwise(1.0)
-    body = F.when(kind_a == kind_b, 1.04).otherwise(0.88)
+def context_factor(a: Column, b: Column, kind_a: Column, kind_b: Column, boosted: Column, flanked: Column, bodied: Column) -> Column:
+    """0 if blocked. Equal known orientations: 1.05 in boosted groups; others: 0.92 in flanked groups. In bodied groups equal body kinds
+    1.04, and 0.88 if they differ and one is partial_or_head. All other cases 1."""
+    same = (a == b) & (a != "unknown")
+    side = F.when(same & boosted, 1.05).when(~same & flanked, 0.92).otherwise(1.0)
+    partial = (kind_a == "partial_or_head") | (kind_b == "partial_or_head")
+    body = F.when(bodied & (kind_a == kind_b), 1.04).when(bodied & partial, 0.88).otherwise(1.0)
     return F.when(~orientation_compatible(a, b), 0.0).otherwise(side * body)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,31 +20,53 @@ def precision_curve(pairs: DataFrame, score: str = "score", truth: str = "label"
     return out.select(score, "n", "tp", (F.col("tp") / F.col("n")).alias("precision"))
 
 
-def threshold_for_precision(pairs: DataFrame, target: float, least: int = 3, scale: float = 1.0, score: str = "score", truth: str = "label") -> DataFrame:
-    """One row: the lowest score whose prefix has the target precision and `least` pairs, else the 55th percentile of positives; times scale."""
+def threshold_for_precision(
+    pairs: DataFrame, target: float, least: int = 3, scale: float = 1.0, score: str = "score", truth: str = "label", default: float = 0.62
+) -> DataFrame:
+    """One row: the lowest score whose prefix has the target precision and `least` pairs, times scale.
+
+    Else the score nearest to the 55th percentile of the positives (ties: the higher). No pairs, or pairs of one class: the default.
+    Equal scores are one prefix.
+    """
     curve = precision_curve(pairs, score, truth)
     hit = curve.where((F.col("precision") >= target) & (F.col("n") >= least)).agg(F.min(score).alias("hit"))
-    fallback = pairs.where(F.col(truth) == 1).agg(F.expr(f"percentile({score}, 0.55)").alias("fallback"))
-    return hit.crossJoin(fallback).select((F.coalesce("hit", "fallback") * scale).alias("threshold"), F.col("hit").isNotNull().alias("reached"))
+    sides = pairs.agg(
+        F.percentile(F.when(F.col(truth) == 1, F.col(score)), F.lit(0.55)).alias("middle"),
+        (F.coalesce(F.max(truth), F.lit(0)) > F.coalesce(F.min(truth), F.lit(0))).alias("both"),
+    )
+    nearest = curve.crossJoin(sides).agg(F.min_by(score, F.struct(F.abs(F.col(score) - F.col("middle")), -F.col(score))).alias("nearest"), F.max("both").alias("both"))
+    value = F.when(F.coalesce("both", F.lit(False)), F.coalesce("hit", "nearest") * scale).otherwise(default)
+    return hit.crossJoin(nearest).select(value.alias("threshold"), (F.col("hit").isNotNull() & F.coalesce("both", F.lit(False))).alias("reached"))
+
+
+#: The grid of probability, local score, inliers and similarity, and the rule that nothing passes.
+GRID = ((0.90, 0.94, 0.97, 0.98, 0.99), (0.40, 0.55, 0.70, 0.82, 0.90, 0.95), (4, 6, 8, 10, 14, 18, 24, 32), (0.86, 0.90, 0.94, 0.96, 0.98))
+IMPOSSIBLE = (0.999, 0.999, 999, 0.999)
 
 
-def rule_grid(pairs: DataFrame, grid: DataFrame, target: float, min_support: int, truth: str = "label") -> DataFrame:
-    """One row: the rule of the grid (prob, local, inliers, sim) that is best on labelled pairs.
+def rule_grid(pairs: DataFrame, grid: DataFrame | None, target: float, min_support: int, truth: str = "label") -> DataFrame:
+    """One row: the rule of the grid (prob, local, inliers, sim) that is best on labelled pairs; grid None: GRID.
 
-    Support at least min_support; of the rules with the target precision the one with the most positives, else the most precise among the rest; none: no row.
+    Support at least min_support; of the rules with the target precision the one with the most positives, then precision, then support; if there are none,
+    the most precise, then by positives, then support. No rule with the support: the impossible rule with support 0.
     grid is a parameter table; pairs stay distributed and each rule is one conditional sum.
     """
+    spark = pairs.sparkSession
+    names = "r_prob double, r_local double, r_inliers int, r_sim double"
+    grid = spark.createDataFrame(list(product(*GRID)), names) if grid is None else grid
     hit = (F.col("match_prob") >= F.col("r_prob")) & (F.col("local") >= F.col("r_local")) & (F.col("inliers") >= F.col("r_inliers")) & (F.col("sim") >= F.col("r_sim"))
     keys = ["r_prob", "r_local", "r_inliers", "r_sim"]
     cells = pairs.groupBy("match_prob", "local", "inliers", "sim").agg(F.count(F.lit(1)).alias("c"), F.sum(truth).alias("p"))
     got = cells.join(F.broadcast(grid), hit).groupBy(*keys).agg(F.sum("c").alias("support"), F.sum("p").alias("tp"))
     got = got.where(F.col("support") >= min_support).withColumn("precision", F.col("tp") / F.col("support"))
+    none = spark.createDataFrame([(*IMPOSSIBLE, 0, 0, 0.0)], f"{names}, support long, tp long, precision double")
     ok = F.col("precision") >= target
-    return got.orderBy(F.desc(ok), F.desc(F.when(ok, F.col("tp")).otherwise(F.lit(0))), F.desc("precision"), F.desc("support"), *keys).limit(1)
+    order = [F.desc(ok), F.desc(F.when(ok, F.col("tp")).otherwise(F.lit(0))), F.desc("precision"), F.desc("tp"), F.desc("support"), *keys]
+    return got.unionByName(none).orderBy(F.desc(F.col("support") > 0), *order).limit(1)
 
 
-def rank_auc(pairs: DataFrame, score: str = "score", truth: str = "label", order: Iterable[Column] = ()) -> DataFrame:
-    """One row: Mann-Whitney AUC without tie averaging (ties by the given order). One class only: null.
+def rank_auc(pairs: DataFrame, score: str = "score", truth: str = "label", order: Iterable[Column] = (), one_class: float | None = None) -> DataFrame:
+    """One row: Mann-Whitney AUC without tie averaging (ties by the given order). One class only, or no pairs: one_class (0.5 in reports).
 
     Ranks are found in two steps: counts per score, then places within a score, so no task orders all pairs.
     """
@@ -58,7 +81,7 @@ def rank_auc(pairs: DataFrame, score: str = "score", truth: str = "label", order
         F.sum(F.when(F.col(truth) == 0, 1).otherwise(0)).alias("q"),
     )
     auc = (F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
-    return got.select(F.when((F.col("p") > 0) & (F.col("q") > 0), auc).alias("auc"))
+    return got.select(F.when((F.col("p") > 0) & (F.col("q") > 0), auc).otherwise(F.lit(one_class)).cast("double").alias("auc"))
 
 
 def threshold_report(pairs: DataFrame, thresholds: list[float], score: str = "score", truth: str = "label") -> DataFrame:

@@ -104,11 +104,30 @@ def variant_summary(pairs: DataFrame, score: str = "score", same: str = "same_cl
 
 
 def shape_score(report: DataFrame, targets: DataFrame, group: str = "species") -> DataFrame:
-    """Per species the distance of its shape from a target (clusters, max size, singleton share); collapsed (under 2 clusters): 999."""
-    x = report.join(targets, group)
-    ratio = lambda v, t: F.abs(F.log((F.col(v) + 1.0) / (F.col(t) + 1.0)))
-    s = ratio("n_clusters", "t_clusters") + ratio("max_cluster_size", "t_max") * 0.5 + F.abs(F.col("singletons") / F.col("n_images") - F.col("t_singletons")) * 0.5
-    return x.select(group, F.when(F.col("n_clusters") < 2, 999.0).otherwise(s).alias("shape_score"))
+    """Per species the distance of its shape from a target, and notes (array<string>).
+
+    targets: t_clusters, t_max, t_singletons, the ranges lo_clusters..hi_clusters, lo_max..hi_max, and hi_singletons. Distances are log ratios of
+    counts; leaving a range costs more. One cluster of several items: 999, collapsed. A species without target: 0.
+    """
+    x = report.join(targets, group, "left")
+    ratio = lambda v, t: F.abs(F.log(F.greatest(F.col(v) + 1.0, F.lit(1.0)) / F.greatest(F.col(t) + 1.0, F.lit(1.0))))
+    s = 2.6 * ratio("n_clusters", "t_clusters") + 1.4 * ratio("max_cluster_size", "t_max") + 0.55 * ratio("singletons", "t_singletons")
+    ranges = (
+        (F.col("n_clusters") < F.col("lo_clusters"), 3.0, "n_clusters", "lo_clusters", "too_few_clusters"),
+        (F.col("n_clusters") > F.col("hi_clusters"), 3.0, "n_clusters", "hi_clusters", "too_many_clusters"),
+        (F.col("max_cluster_size") < F.col("lo_max"), 1.6, "max_cluster_size", "lo_max", "max_cluster_too_small"),
+        (F.col("max_cluster_size") > F.col("hi_max"), 12.0, "max_cluster_size", "hi_max", "max_cluster_too_large"),
+        (F.col("singletons") > F.col("hi_singletons"), 1.5, "singletons", "hi_singletons", "too_many_singletons"),
+    )
+    for out, weight, v, t, _ in ranges:
+        s = s + F.when(out, weight * ratio(v, t)).otherwise(0.0)
+    known, collapsed = F.col("t_clusters").isNotNull(), (F.col("n_clusters") <= 1) & (F.col("n_images") > 1)
+    notes = F.array_compact(F.array(*[F.when(out, F.lit(note)) for out, _, _, _, note in ranges]))
+    return x.select(
+        group,
+        F.when(~known, 0.0).when(collapsed, 999.0).otherwise(s).alias("shape_score"),
+        F.when(~known, F.array().cast("array<string>")).when(collapsed, F.array(F.lit("collapsed"))).otherwise(notes).alias("notes"),
+    )
 
 
 def choose_by_score(scores: DataFrame, name: str = "variant", score: str = "shape_score", bias: Column | None = None) -> DataFrame:

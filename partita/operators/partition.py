@@ -125,27 +125,41 @@ def replay_actions(partition: DataFrame, actions: DataFrame, label: str = "clust
     return label_merge(partition, actions.select(F.col("cluster_a").alias("a"), F.col("cluster_b").alias("b")), label)
 
 
-def split_clusters(partition: DataFrame, pairs: DataFrame, score: str, keep: float, label: str = "cluster", key: str = "image_id", least: int = 3, most_parts: int = 7) -> DataFrame:
-    """image_id, cluster, part, decision: clusters cut into the components of their inner pairs with score >= keep, under guards.
-
-    Decisions, the first that holds: small (fewer than `least` items), no_scores (no inner pair scored), no_trusted (none reaches keep), connected (one component), atomised (more than
-    most_parts components); all of these keep the cluster as it is. Else split: part is the component's smallest id.
+def split_clusters(
+    partition: DataFrame, pairs: DataFrame, score: str, keep: float, label: str = "cluster", key: str = "image_id", least: int = 3, small_cluster: int = 7,
+    least_edges: int = 0, evidence: Column | None = None,
+) -> DataFrame:
+    """image_id, cluster, part, decision: clusters cut into the components of their trusted inner pairs, under guards.
+
+    Trusted: score >= keep and, where given, the evidence condition over the pairs' columns (of several kinds, any may do).
+    Decisions, the first that holds: small (fewer than `least` items), no_scores (no inner pair scored), no_trusted (no trusted pair), connected (one component),
+    atomised (all components but one at most are single items, and the cluster has at most small_cluster items), unsupported (a component of several items
+    has fewer than least_edges trusted pairs); all of these keep the cluster as it is. Else split: part is the component's smallest id.
     """
     p = partition.select(key, label)
     inner = (
         pairs.join(p.select(F.col(key).alias("a"), F.col(label).alias("la")), "a").join(p.select(F.col(key).alias("b"), F.col(label).alias("lb")), "b").where("la = lb")
     )
-    parts = connected(inner.where(F.col(score) >= keep))
-    placed = p.join(parts.withColumnRenamed("id", key), key, "left").withColumn("part", F.coalesce("component", key)).drop("component")
-    per = placed.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("n_parts"))
-    scored = inner.groupBy(F.col("la").alias(label)).agg(F.count(score).alias("n_scored"), F.max(score).alias("best"))
+    trust = F.coalesce((F.col(score) >= keep) & (F.lit(True) if evidence is None else evidence), F.lit(False))
+    trusted = inner.where(trust)
+    placed = p.join(connected(trusted).withColumnRenamed("id", key), key, "left").withColumn("part", F.coalesce("component", key)).drop("component")
+    edges = trusted.join(placed.select(F.col(key).alias("a"), "part"), "a").groupBy(F.col("la").alias(label), "part").agg(F.count(F.lit(1)).alias("edges"))
+    sizes = placed.groupBy(label, "part").agg(F.count(F.lit(1)).alias("size")).join(edges, [label, "part"], "left")
+    per = sizes.groupBy(label).agg(
+        F.sum("size").alias("n"),
+        F.count(F.lit(1)).alias("n_parts"),
+        F.count_if(F.col("size") == 1).alias("n_single"),
+        F.min(F.when(F.col("size") > 1, F.coalesce("edges", F.lit(0)))).alias("fewest"),
+    )
+    scored = inner.groupBy(F.col("la").alias(label)).agg(F.count(score).alias("n_scored"), F.count_if(trust).alias("n_trusted"))
     rule = per.join(scored, label, "left").select(
         label,
         F.when(F.col("n") < least, "small")
         .when(F.coalesce("n_scored", F.lit(0)) == 0, "no_scores")
-        .when(F.col("best") < keep, "no_trusted")
+        .when(F.col("n_trusted") == 0, "no_trusted")
         .when(F.col("n_parts") == 1, "connected")
-        .when(F.col("n_parts") > most_parts, "atomised")
+        .when((F.col("n_single") >= F.col("n_parts") - 1) & (F.col("n") <= small_cluster), "atomised")
+        .when(F.coalesce(F.col("fewest") < least_edges, F.lit(False)), "unsupported")
         .otherwise("split")
         .alias("decision"),
     )

@@ -73,14 +73,16 @@ COMPATIBLE = "NOT (coalesce(sa <> sb, false) OR (a_o = 'front' AND b_o = 'back')
 r AS (SELECT *, {RELATION} AS relation, {COMPATIBLE} AS compatible FROM o)
 SELECT a, b, relation, compatible, round(sim - CASE WHEN sa <> sb THEN 0.075 ELSE 0 END, 6) AS penalised,
   CASE relation WHEN 'opposite_flank' THEN 0.55 WHEN 'mixed' THEN 0.84 ELSE 1.0 END::DOUBLE AS factor,
-  round(CASE WHEN NOT compatible THEN 0 ELSE CASE relation WHEN 'same_flank' THEN 1.05 WHEN 'mixed' THEN 0.92 ELSE 1.0 END * CASE WHEN a % 2 = b % 2 THEN 1.04 ELSE 0.88 END END::DOUBLE, 6) AS context FROM r""")
+  round(CASE WHEN NOT compatible THEN 0 ELSE CASE WHEN a_o = b_o AND a_o <> 'unknown' THEN CASE WHEN a % 3 < 2 THEN 1.05 ELSE 1.0 END WHEN a % 3 = 0 THEN 0.92 ELSE 1.0 END
+    * CASE WHEN a % 3 <> 2 THEN 1.0 WHEN a % 4 = b % 4 THEN 1.04 WHEN a % 4 = 0 OR b % 4 = 0 THEN 0.88 ELSE 1.0 END END::DOUBLE, 6) AS context FROM r""")
 def orientation_scalars(spark, sf):
     p = scored_pairs(items(spark, sf)).withColumn("oa", S.canonical_orientation(F.col("oa"))).withColumn("ob", S.canonical_orientation(F.col("ob")))
-    oa, ob = F.col("oa"), F.col("ob")
+    oa, ob, third = F.col("oa"), F.col("ob"), F.col("a") % 3
+    kind = lambda c: F.when(F.col(c) % 4 == 0, "partial_or_head").otherwise(F.concat(F.lit("k"), (F.col(c) % 4).cast("string")))
     return p.select(
         "a", "b", S.orientation_relation(oa, ob).alias("relation"), S.orientation_compatible(oa, ob).alias("compatible"),
         r6(S.subtractive_penalty(F.col("sim"), oa, ob, 0.075)).alias("penalised"), S.multiplicative_penalty(oa, ob).alias("factor"),
-        r6(S.context_factor(oa, ob, F.col("a") % 2, F.col("b") % 2)).alias("context"),
+        r6(S.context_factor(oa, ob, kind("a"), kind("b"), third < 2, third == 0, third == 2)).alias("context"),
     )
 
 
@@ -157,11 +159,17 @@ def variant_quantile_report(spark, sf):
     return g.select(*[r6(F.col(c)).alias(c) for c in g.columns])
 
 
-@query("shape_score_rank", f"WITH {ITEMS}, {SHAPE_SQL} SELECT species, round(abs(ln((n_clusters + 1.0) / 41)) + 0.5 * abs(ln((max_cluster_size + 1.0) / 13)) + 0.5 * abs(singletons::DOUBLE / n_images - 0.3), 6) AS shape_score FROM shape")
+_SHAPE_RULE = """round(CASE WHEN n_clusters <= 1 AND n_images > 1 THEN 999 ELSE 2.6 * abs(ln((n_clusters + 1.0) / 41)) + 1.4 * abs(ln((max_cluster_size + 1.0) / 13)) + 0.55 * abs(ln((singletons + 1.0) / 21))
+  + CASE WHEN n_clusters < 30 THEN 3.0 * abs(ln((n_clusters + 1.0) / 31)) ELSE 0 END + CASE WHEN n_clusters > 50 THEN 3.0 * abs(ln((n_clusters + 1.0) / 51)) ELSE 0 END
+  + CASE WHEN max_cluster_size < 6 THEN 1.6 * abs(ln((max_cluster_size + 1.0) / 7)) ELSE 0 END + CASE WHEN max_cluster_size > 20 THEN 12.0 * abs(ln((max_cluster_size + 1.0) / 21)) ELSE 0 END
+  + CASE WHEN singletons > 2 THEN 1.5 * abs(ln((singletons + 1.0) / 3)) ELSE 0 END END::DOUBLE, 6)"""
+
+
+@query("shape_score_rank", f"WITH {ITEMS}, {SHAPE_SQL} SELECT species, {_SHAPE_RULE} AS shape_score FROM shape")
 def shape_score_rank(spark, sf):
     rep = D.shape(items(spark, sf))
-    goal = rep.select("species", F.lit(40).alias("t_clusters"), F.lit(12).alias("t_max"), F.lit(0.3).alias("t_singletons"))
-    s = D.shape_score(rep, goal)
+    goal = dict(t_clusters=40, t_max=12, t_singletons=20, lo_clusters=30, hi_clusters=50, lo_max=6, hi_max=20, hi_singletons=2)
+    s = D.shape_score(rep, rep.select("species", *[F.lit(v).alias(k) for k, v in goal.items()]))
     return s.select("species", r6(F.col("shape_score")).alias("shape_score"))
 
 
@@ -375,7 +383,7 @@ def calibration_pairs(spark, sf):
     return J.sampled_pairs(pos, 12, 7, "identity").select("a", "b").unionByName(near).dropDuplicates(["a", "b"])
 
 
-@query("precision_threshold", f"WITH {PAIRS}, c AS (SELECT sim, sum(n) OVER w AS n, sum(p) OVER w AS tp FROM (SELECT sim, count(*) AS n, sum(label) AS p FROM pairs GROUP BY 1) WINDOW w AS (ORDER BY sim DESC)), h AS (SELECT min(sim) AS hit FROM c WHERE n >= 3 AND tp / n >= 0.2), f AS (SELECT quantile_cont(sim, 0.55) AS fb FROM pairs WHERE label = 1) SELECT round(coalesce(hit, fb) * 0.98::DOUBLE, 6) AS threshold, hit IS NOT NULL AS reached FROM h, f")
+@query("precision_threshold", f"WITH {PAIRS}, c AS (SELECT sim, sum(n) OVER w AS n, sum(p) OVER w AS tp FROM (SELECT sim, count(*) AS n, sum(label) AS p FROM pairs GROUP BY 1) WINDOW w AS (ORDER BY sim DESC)), h AS (SELECT min(sim) AS hit FROM c WHERE n >= 3 AND tp / n >= 0.2), m AS (SELECT quantile_cont(sim, 0.55) AS mid FROM pairs WHERE label = 1), f AS (SELECT sim AS fb FROM pairs, m ORDER BY abs(sim - mid), sim DESC LIMIT 1) SELECT round(coalesce(hit, fb) * 0.98::DOUBLE, 6) AS threshold, hit IS NOT NULL AS reached FROM h, f")
 def precision_threshold(spark, sf):
     got = C.threshold_for_precision(scored_pairs(items(spark, sf)), 0.2, scale=0.98, score="sim")
     return got.select(r6(F.col("threshold")).alias("threshold"), "reached")
@@ -384,7 +392,7 @@ def precision_threshold(spark, sf):
 _GRID = [(p, l, i, s) for p in (0.2, 0.4, 0.6, 0.8, 0.9) for l in (0.0, 0.1, 0.2, 0.3, 0.4, 0.5) for i in (0, 2, 4, 6, 8, 10, 12, 14) for s in (0.0, 0.1, 0.2, 0.3, 0.4)]
 
 
-@query("rule_grid", f"WITH {PAIRS}, g AS (SELECT rp / 10.0::DOUBLE AS r_prob, rl / 10.0::DOUBLE AS r_local, ri AS r_inliers, rs / 10.0::DOUBLE AS r_sim FROM (VALUES (2), (4), (6), (8), (9)) a(rp), range(0, 6) b(rl), range(0, 15, 2) c(ri), range(0, 5) d(rs)), s AS (SELECT r_prob, r_local, r_inliers, r_sim, count(*) AS support, sum(label) AS tp FROM pairs JOIN g ON conf >= r_prob AND ratio >= r_local AND inliers >= r_inliers AND sim >= r_sim GROUP BY 1, 2, 3, 4 HAVING count(*) >= 20) SELECT r_prob, r_local, r_inliers::INT AS r_inliers, r_sim, support, tp::BIGINT AS tp, round(tp / support, 6) AS precision FROM s ORDER BY tp / support >= 0.95 DESC, CASE WHEN tp / support >= 0.95 THEN tp ELSE 0 END DESC, tp / support DESC, support DESC, r_prob, r_local, r_inliers, r_sim LIMIT 1")
+@query("rule_grid", f"WITH {PAIRS}, g AS (SELECT rp / 10.0::DOUBLE AS r_prob, rl / 10.0::DOUBLE AS r_local, ri AS r_inliers, rs / 10.0::DOUBLE AS r_sim FROM (VALUES (2), (4), (6), (8), (9)) a(rp), range(0, 6) b(rl), range(0, 15, 2) c(ri), range(0, 5) d(rs)), s AS (SELECT r_prob, r_local, r_inliers, r_sim, count(*) AS support, sum(label) AS tp FROM pairs JOIN g ON conf >= r_prob AND ratio >= r_local AND inliers >= r_inliers AND sim >= r_sim GROUP BY 1, 2, 3, 4 HAVING count(*) >= 20) SELECT r_prob, r_local, r_inliers::INT AS r_inliers, r_sim, support, tp::BIGINT AS tp, round(tp / support, 6) AS precision FROM s ORDER BY tp / support >= 0.95 DESC, CASE WHEN tp / support >= 0.95 THEN tp ELSE 0 END DESC, tp / support DESC, tp DESC, support DESC, r_prob, r_local, r_inliers, r_sim LIMIT 1")
 def rule_grid(spark, sf):
     grid = spark.createDataFrame(_GRID, "r_prob double, r_local double, r_inliers int, r_sim double")
     p = scored_pairs(items(spark, sf)).withColumnsRenamed({"conf": "match_prob", "ratio": "local"})
@@ -457,7 +465,7 @@ def label_graph_components(spark, sf):
     return P.replay_actions(it.select("image_id", "cluster"), e)
 
 
-@query("split_cluster_guarded", f"WITH RECURSIVE {PAIRS}, inner_ AS (SELECT a, b, sim, ca AS cluster FROM pairs WHERE ca = cb), e AS (SELECT a, b FROM inner_ WHERE sim >= 0.2), {REACH}, p AS (SELECT i.image_id, cluster, least(i.image_id, coalesce(min(far), i.image_id)) AS part FROM items i LEFT JOIN reach ON id = i.image_id GROUP BY 1, 2), n AS (SELECT cluster, count(*) AS n, count(DISTINCT part) AS np, min(image_id) AS first FROM p GROUP BY 1), s AS (SELECT cluster, count(*) AS ns, max(sim) AS best FROM inner_ GROUP BY 1), d AS (SELECT n.*, CASE WHEN n < 3 THEN 'small' WHEN ns IS NULL THEN 'no_scores' WHEN best < 0.2 THEN 'no_trusted' WHEN np = 1 THEN 'connected' WHEN np > 7 THEN 'atomised' ELSE 'split' END AS decision FROM n LEFT JOIN s USING (cluster)) SELECT image_id, cluster, CASE WHEN decision = 'split' THEN part ELSE first END AS part, decision FROM p JOIN d USING (cluster)")
+@query("split_cluster_guarded", f"WITH RECURSIVE {PAIRS}, inner_ AS (SELECT a, b, sim, ca AS cluster FROM pairs WHERE ca = cb), e AS (SELECT a, b FROM inner_ WHERE sim >= 0.2), {REACH}, p AS (SELECT i.image_id, cluster, least(i.image_id, coalesce(min(far), i.image_id)) AS part FROM items i LEFT JOIN reach ON id = i.image_id GROUP BY 1, 2), n AS (SELECT cluster, sum(k)::BIGINT AS n, count(*) AS np, count(*) FILTER (WHERE k = 1) AS singles, min(first) AS first FROM (SELECT cluster, part, count(*) AS k, min(image_id) AS first FROM p GROUP BY 1, 2) GROUP BY 1), s AS (SELECT cluster, count(*) AS ns, max(sim) AS best FROM inner_ GROUP BY 1), d AS (SELECT n.*, CASE WHEN n < 3 THEN 'small' WHEN ns IS NULL THEN 'no_scores' WHEN best < 0.2 THEN 'no_trusted' WHEN np = 1 THEN 'connected' WHEN singles >= np - 1 AND n <= 7 THEN 'atomised' ELSE 'split' END AS decision FROM n LEFT JOIN s USING (cluster)) SELECT image_id, cluster, CASE WHEN decision = 'split' THEN part ELSE first END AS part, decision FROM p JOIN d USING (cluster)")
 def split_cluster_guarded(spark, sf):
     it = items(spark, sf)
     return P.split_clusters(it, scored_pairs(it).select("a", "b", "sim"), "sim", 0.2)

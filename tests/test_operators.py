@@ -1,6 +1,7 @@
 """Hand-computed cases and properties of operators that SQL cannot express."""
 
 import random
+from math import log
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,12 +125,50 @@ def test_precision_threshold_takes_the_last_prefix_or_falls_back(spark):
     x = frame(spark, rows, "score double, label int")
     assert calibration.threshold_for_precision(x, 0.75).first().threshold == 0.6
     r = calibration.threshold_for_precision(x, 0.99).first()
-    assert not r.reached and abs(r.threshold - 0.72) < 1e-9
+    assert not r.reached and r.threshold == 0.7
+    assert calibration.threshold_for_precision(x.where("label = 1"), 0.5).first().threshold == 0.62
+    assert calibration.threshold_for_precision(x.limit(0), 0.5, default=0.58).first().threshold == 0.58
 
 
 def test_rank_auc_of_one_class_is_null(spark):
     x = frame(spark, [(0.1, 1), (0.2, 1)], "score double, label int")
     assert calibration.rank_auc(x).first().auc is None
+    assert calibration.rank_auc(x, one_class=0.5).first().auc == 0.5
+
+
+def test_rule_grid_order_and_the_impossible_rule(spark):
+    rows = [(0.995, 0.96, 40, 0.99, 1)] * 3 + [(0.95, 0.5, 5, 0.9, 1)] * 2 + [(0.91, 0.45, 4, 0.87, 0)]
+    x = frame(spark, rows, "match_prob double, local double, inliers int, sim double, label int")
+    r = calibration.rule_grid(x, None, 0.95, 2).first()
+    assert (r.tp, r.precision, r.support) == (5, 1.0, 5) and (r.r_prob, r.r_inliers) == (0.9, 4)
+    r = calibration.rule_grid(x, None, 0.95, 99).first()
+    assert (r.r_prob, r.r_local, r.r_inliers, r.r_sim, r.support, r.precision) == (0.999, 0.999, 999, 0.999, 0, 0.0)
+    # No rule is precise enough: precision, then positives, then support.
+    y = x.withColumn("label", F.when(F.col("inliers") == 40, F.lit(0)).otherwise(F.lit(1)))
+    r = calibration.rule_grid(y, None, 0.99, 4).first()
+    assert (r.tp, r.support) == (3, 6)
+
+
+def test_guarded_split_outcomes(spark):
+    members = {"small": [1, 2], "silent": [11, 12, 13], "weak": [21, 22, 23], "whole": [31, 32, 33], "atoms": [41, 42, 43, 44], "cut": [51, 52, 53, 54], "big": list(range(61, 70))}
+    x = frame(spark, [(i, c) for c, v in members.items() for i in v], "image_id long, cluster string")
+    pairs = [(1, 2, 0.9), (21, 22, 0.1), (31, 32, 0.9), (32, 33, 0.9), (41, 42, 0.9), (43, 44, 0.1), (51, 52, 0.9), (53, 54, 0.9), (61, 62, 0.9), (63, 64, 0.1)]
+    pairs = frame(spark, [(a, b, s, 1.0 if s > 0.5 else 0.0) for a, b, s in pairs], "a long, b long, s double, point double")
+    got = {r.cluster: r.decision for r in partition.split_clusters(x, pairs, "s", 0.5).collect()}
+    assert got == {"small": "small", "silent": "no_scores", "weak": "no_trusted", "whole": "connected", "atoms": "atomised", "cut": "split", "big": "split"}
+    got = {r.cluster: r.decision for r in partition.split_clusters(x, pairs, "s", 0.5, least_edges=2).collect()}
+    assert got["cut"] == got["big"] == "unsupported" and got["atoms"] == "atomised"
+    got = {r.cluster: r.decision for r in partition.split_clusters(x, pairs, "s", 0.5, evidence=F.col("point") > 2).collect()}
+    assert got["whole"] == got["cut"] == "no_trusted"
+
+
+def test_shape_score_by_hand(spark):
+    rep = frame(spark, [("x", 20, 9, 4, 3), ("one", 5, 1, 5, 0), ("free", 5, 2, 4, 1)], "species string, n_images long, n_clusters long, max_cluster_size long, singletons long")
+    goal = frame(spark, [("x", 4, 7, 1, 2, 6, 5, 9, 1), ("one", 4, 7, 1, 2, 6, 5, 9, 1)], "species string, t_clusters int, t_max int, t_singletons int, lo_clusters int, hi_clusters int, lo_max int, hi_max int, hi_singletons int")
+    got = {r.species: r for r in lineage.shape_score(rep, goal).collect()}
+    want = 2.6 * log(10 / 5) + 1.4 * log(8 / 5) + 0.55 * log(4 / 2) + 3 * log(10 / 7) + 1.6 * log(6 / 5) + 1.5 * log(4 / 2)
+    assert abs(got["x"].shape_score - want) < 1e-12 and got["x"].notes == ["too_many_clusters", "max_cluster_too_small", "too_many_singletons"]
+    assert got["one"].shape_score == 999.0 and got["one"].notes == ["collapsed"] and got["free"].shape_score == 0.0
 
 
 def test_upsert_and_duplicates(spark):
