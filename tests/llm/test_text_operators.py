@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,24 @@ def test_every_known_licence_finds_itself(spark):
     assert [got[i] for i in range(len(names))] == names
 
 
+def test_licences_by_digest(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not folder.exists():
+        pytest.skip("no published licence texts here")
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    texts = [(folder / n).read_text(encoding="utf-8").upper().replace("LICENSE", "licence").replace("\n", "\n# ") for n in names]
+    got = {r.doc_id: r.licence for r in licenses.scan(docs(spark, texts + [texts[0] + " with a change"])).collect()}
+    assert [got[i] for i in range(len(names))] == list(names.values()) and got[len(names)] is None
+
+
+def test_licence_lines_that_lose_letters(spark):
+    long = "All rights reserved." + " https://www. http://" * 40 + " "
+    notices = [("x", "All rights reserved."), ("y", "favor of the acknowledgment")]
+    texts = [long, "in favour of none\nFavour of the acknowledgement", "All rights reserved. " * 400, "All rights reserved.\n" * 3000, "All rights reserved.\n" * 3000]
+    got = {r.doc_id: r.notices for r in licenses.scan(docs(spark, texts), notices=notices).collect()}
+    assert [got[i] for i in range(5)] == ["x", "y", "", "x", "x"]
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(7)
     bits = ["<|", "|>", "<|im_end|>", "<|im_start|>", "<|im_sep|>", "\\", "<\\|", "<\\\\|", "\n", "a", "é", "<", "|"]
