@@ -8,16 +8,17 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered, running
+
 
 def precision_curve(pairs: DataFrame, score: str = "score", truth: str = "label") -> DataFrame:
     """Per distinct score the pairs at or above it (n), the positives among them (tp) and the precision.
 
-    Scores are counted before they are ordered, so the running sums are over distinct values.
+    Scores are counted before they are ordered, and running sums are taken within ranges of scores.
     """
     per = pairs.groupBy(score).agg(F.count(F.lit(1)).alias("c"), F.sum(truth).alias("p"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = per.withColumn("n", F.sum("c").over(w)).withColumn("tp", F.sum("p").over(w))
-    return out.select(score, "n", "tp", (F.col("tp") / F.col("n")).alias("precision"))
+    out = running(per, score, ["c", "p"], descending=True)
+    return out.select(score, F.col("run_c").alias("n"), F.col("run_p").alias("tp"), (F.col("run_p") / F.col("run_c")).alias("precision"))
 
 
 def threshold_for_precision(
@@ -71,8 +72,7 @@ def rank_auc(pairs: DataFrame, score: str = "score", truth: str = "label", order
     Ranks are found in two steps: counts per score, then places within a score, so no task orders all pairs.
     """
     per = pairs.groupBy(score).agg(F.count(F.lit(1)).alias("c"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(F.col(score).alias("s"), F.coalesce(F.sum("c").over(below), F.lit(0)).alias("below"))
+    per = running(per, score, ["c"]).select(F.col(score).alias("s"), (F.col("run_c") - F.col("c")).alias("below"))
     place = F.row_number().over(Window.partitionBy(score).orderBy(*(list(order) or [F.col(score)])))
     ranked = pairs.withColumn("place", place).join(per, F.col(score) == F.col("s"))
     got = ranked.agg(
@@ -84,6 +84,38 @@ def rank_auc(pairs: DataFrame, score: str = "score", truth: str = "label", order
     return got.select(F.when((F.col("p") > 0) & (F.col("q") > 0), auc).otherwise(F.lit(one_class)).cast("double").alias("auc"))
 
 
+def summary(df: DataFrame, value: str, group: str, share: Column) -> DataFrame:
+    """Per group: n, distinct values, mean, median, and the share of rows for which a condition holds (null: does not)."""
+    return df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct(value).alias("n_values"),
+        F.avg(value).alias("mean"),
+        F.percentile(value, F.lit(0.5)).alias("median"),
+        F.avg(F.coalesce(share, F.lit(False)).cast("double")).alias("share"),
+    )
+
+
+def validation_report(pairs: DataFrame, thresholds: Iterable[float] = (0.35, 0.45, 0.55, 0.65), group: str = "species", score: str = "score", truth: str = "label") -> DataFrame:
+    """Per species of scored pairs of known identity: counts, rank AUC (ties by a, b; one class: 0.5), median inliers by class, and precision, recall
+    and accepted pairs at each threshold (precision_35, ...).
+
+    pairs: species, a, b, score, label, inliers; a sample of bounded size per species, as sampled_pairs gives it, since its ranks are one window per species.
+    """
+    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(score, "a", "b")))
+    one, zero = F.col(truth) == 1, F.col(truth) == 0
+    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    middle = lambda cond: F.coalesce(F.percentile(F.when(cond, F.col("inliers")), F.lit(0.5)), F.lit(0.0))
+    p, q = n(one), n(zero)
+    auc = (F.sum(F.when(one, F.col("_rank")).otherwise(0)) - p * (p + 1) / 2) / (p * q)
+    out = [F.count(F.lit(1)).alias("n_pairs"), p.alias("n_positive"), q.alias("n_negative"), F.when((p > 0) & (q > 0), auc).otherwise(0.5).alias("auc")]
+    out += [middle(one).alias("median_inliers_positive"), middle(zero).alias("median_inliers_negative")]
+    for t in thresholds:
+        hit, tag = F.col(score) >= t, f"{round(t * 100):02d}"
+        tp = n(hit & one)
+        out += [(tp / F.greatest(n(hit), F.lit(1))).alias(f"precision_{tag}"), (tp / F.greatest(p, F.lit(1))).alias(f"recall_{tag}"), n(hit).alias(f"accepted_{tag}")]
+    return ranked.groupBy(group).agg(*out)
+
+
 def threshold_report(pairs: DataFrame, thresholds: list[float], score: str = "score", truth: str = "label") -> DataFrame:
     """Per threshold: accepted, precision, recall; one pass over the pairs."""
     sums = pairs.agg(
@@ -122,7 +154,7 @@ def novel_split(items: DataFrame, share: float = 0.22, seed: int = 7, identity:
     """items with role: novel (identities of the smallest hashes, `share` of them), query (one item of each other identity), gallery."""
     ids = items.select(identity).distinct().withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(identity).cast("string"))))
     n = ids.agg(F.floor(F.count(F.lit(1)) * share).alias("n_novel"))
-    ids = ids.withColumn("r", F.row_number().over(Window.orderBy("h"))).crossJoin(n).select(identity, (F.col("r") <= F.col("n_novel")).alias("novel"))
+    ids = numbered(ids, "h", "r").crossJoin(n).select(identity, (F.col("r") < F.col("n_novel")).alias("novel"))
     q = items.groupBy(identity).agg(F.min(key).alias("q"))
     role = F.when(F.col("novel"), "novel").when(F.col(key) == F.col("q"), "query").otherwise("gallery")
     return items.join(ids, identity).join(q, identity).withColumn("role", role).drop("novel", "q")

@@ -84,6 +84,11 @@ def within_pairs(labels: DataFrame, label: str = "cluster", key: str = "image_id
     return a.join(labels.select(F.col(label).alias("l"), F.col(key).alias("b")), "l").where("a < b").select("a", "b", F.col("l").alias(label))
 
 
+def all_pairs(items: DataFrame, group: str = "species", key: str = "image_id") -> DataFrame:
+    """(a, b, group): every pair a < b of a group, as the operator's result is. For groups that are meant to be compared in full; top_k is the way for others."""
+    return within_pairs(items, group, key)
+
+
 def margin_assign(neighbours: DataFrame, identities: DataFrame, key: str = "image_id", identity: str = "identity") -> DataFrame:
     """Per query the identity of its nearest gallery image, its similarity, and the margin over the second image."""
     named = neighbours.join(identities.select(F.col(key).alias("b"), F.col(identity).alias("identity")), "b")
@@ -145,6 +150,52 @@ def sampled_pairs(pairs: DataFrame, n: int, seed: int, by: str | None = None) ->
     return pairs.withColumn("draw", draw).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("draw", "r")
 
 
+def drawn_negatives(items: DataFrame, n: int, seed: int, identity: str = "identity", key: str = "image_id", spare: int = 2) -> DataFrame:
+    """(a, b): up to n pairs of different identity, drawn by hash without pairing all items.
+
+    Each item draws partners by number, spare * n in all; of the distinct pairs the n of the smallest md5(seed|a|b) stay.
+    """
+    from .order import numbered
+
+    no = numbered(items.select(key, identity), key, "no")
+    size = no.agg(F.count(F.lit(1)).alias("size"))
+    each = F.sequence(F.lit(0), F.ceil(F.lit(spare * n) / F.col("size")).cast("int"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("r").cast("string"))), 1, 12), 16, 10).cast("long")
+    drawn = no.crossJoin(F.broadcast(size)).withColumn("r", F.explode(each)).select(F.col(key).alias("x"), F.col(identity).alias("ix"), (draw % F.col("size")).alias("no"))
+    met = drawn.join(no.select("no", F.col(key).alias("y"), F.col(identity).alias("iy")), "no").where("ix <> iy")
+    return sampled_pairs(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n, seed)
+
+
+def training_pairs(
+    items: DataFrame, neighbours: DataFrame, limit: int, seed: int = 7, many: int = 50, hard: int = 20, rand: int = 30, per_item: int = 10, most_random: int = 5000,
+    identity: str = "identity", key: str = "image_id", vector: str = "v",
+) -> DataFrame:
+    """(a, b, label): at most limit pairs, half of them positives where there are enough.
+
+    Positives: all pairs of an identity; where it has more than `many`, its `hard` least similar ones and `rand` others by hash. Negatives: each
+    item's first per_item neighbours of other identity, and pairs drawn by hash until there are min(limit / 2, most_random). Both are cut in
+    the order of md5(seed|a|b).
+    """
+    from ..functions.vectors import dot
+
+    named = items.where(F.col(identity).isNotNull())
+    v = lambda s: named.select(F.col(key).alias(s), F.col(vector).alias(f"v{s}"))
+    pos = within_pairs(named, identity, key).join(v("a"), "a").join(v("b"), "b").withColumn("sim", F.round(dot(F.col("va"), F.col("vb")), 9)).drop("va", "vb")
+    w = Window.partitionBy(identity)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string")))
+    pos = pos.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("easy", F.row_number().over(w.orderBy("sim", "a", "b"))).withColumn("r", F.row_number().over(w.orderBy(draw)))
+    pos = pos.where((F.col("n") <= many) | (F.col("easy") <= hard) | (F.col("r") <= rand)).select("a", "b")
+    near = across(neighbours, named, per_item, label=identity, key=key).select("a", "b")
+    need = min(limit // 2, most_random)
+    extra = drawn_negatives(named, need, seed, identity, key).join(near, ["a", "b"], "left_anti")
+    lacking = F.greatest(F.lit(need) - F.col("have"), F.lit(0))
+    extra = extra.withColumn("r", F.row_number().over(Window.orderBy(draw))).crossJoin(near.agg(F.count(F.lit(1)).alias("have"))).where(F.col("r") <= lacking).select("a", "b")
+    half = limit // 2
+    pos = sampled_pairs(pos, half, seed).select("a", "b", F.lit(1).alias("label"))
+    neg = sampled_pairs(near.unionByName(extra), limit, seed).select("a", "b", F.lit(0).alias("label"))
+    return budget(pos.unionByName(neg), limit, F.desc("label"), draw)
+
+
 def chamfer(a: DataFrame, b: DataFrame, best: int = 80, scale: float = 0.055) -> DataFrame:
     """Point sets of pairs (pair, x, y): exp(-mean of the `best` nearest distances, both ways, / scale)."""
     d = lambda p, q: F.sqrt(F.pow(F.col(f"{p}.x") - F.col(f"{q}.x"), 2) + F.pow(F.col(f"{p}.y") - F.col(f"{q}.y"), 2))

@@ -55,3 +55,15 @@ def threshold_components(items: DataFrame, edges: DataFrame, accept: Column, key
     """items' ids with the component over accepted edges; an item without edges is its own."""
     parts = connected(edges.where(accept))
     return items.select(key).join(parts.withColumnRenamed("id", key), key, "left").select(key, F.coalesce("component", key).alias("component"))
+
+
+def size_distribution(parts: DataFrame, component: str = "component") -> DataFrame:
+    """(size, components): how many components have a size."""
+    return parts.groupBy(component).agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+
+
+def members(parts: DataFrame, component: str = "component", key: str = "image_id", at_most: int = 1000) -> DataFrame:
+    """(component, chunk, ids): each component's ids in order, in lists of ids of one hash chunk, so that no list grows with its component much beyond at_most."""
+    size = parts.groupBy(component).agg(F.ceil(F.count(F.lit(1)) / at_most).alias("chunks"))
+    dealt = parts.join(size, component).withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int"))
+    return dealt.groupBy(component, "chunk").agg(F.array_sort(F.collect_list(key)).alias("ids"))

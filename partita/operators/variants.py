@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import calibration, candidates, components, lineage, partition
+from . import calibration, candidates, components, lineage, order, partition
 
 #: Merge profiles: score floor, size cap, accepted edges.
 PROFILES = {"conservative": (0.45, 5, 10), "balanced": (0.38, 5, 18), "swing": (0.30, 7, 28)}
@@ -83,8 +83,6 @@ def ranking_metrics(pairs: DataFrame, score: str = "score", truth: str = "label"
 
 def dense_ids(items: DataFrame, group: str = "species", identity: str = "identity") -> DataFrame:
     """items with entity (group::identity) and entity_no, numbered from 0 in sorted order of the distinct entities."""
-    from pyspark.sql import Window
-
     named = items.withColumn("entity", F.concat_ws("::", group, identity))
-    numbers = named.select("entity").distinct().withColumn("entity_no", F.row_number().over(Window.orderBy("entity")) - 1)
+    numbers = order.numbered(named.select("entity").distinct(), "entity", "entity_no")
     return named.join(numbers, "entity")

@@ -628,3 +628,6 @@ def descriptor_matches(spark, sf):
     v = lambda k, n: it.select(F.col("image_id").alias(k), d.alias(n))
     got = X.descriptor_matches(scored_pairs(it).select("a", "b").join(v("a", "da"), "a").join(v("b", "db"), "b"), floor=0.5)
     return got.select("a", "b", "matches", r6(F.col("mean_conf")).alias("mean_conf"))
+
+
+from . import records as _records  # noqa: E402, F401  registers the queries over pair records

@@ -27,6 +27,16 @@ def write_fragments(df: DataFrame, path: str, by: str = "species") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def prune(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns that df has, in the given order."""
+    return df.select(*[c for c in names if c in df.columns])
+
+
+def first_items(df: DataFrame, n: int, key: str = "image_id") -> DataFrame:
+    """The n rows of the smallest keys, for trial runs."""
+    return df.orderBy(key).limit(n)
+
+
 def duplicates(df: DataFrame, key: str = "image_id") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -106,6 +116,16 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def verify_digests(files: DataFrame, manifest: DataFrame, slug: str = "slug", digest: str = "sha256") -> DataFrame:
+    """manifest with found (the digest of the file of that slug, null without one) and verified. A slug of files that the manifest lacks stops with an error."""
+    known = manifest.select(slug).distinct()
+    strange = files.join(known, slug, "left_anti").select(slug).limit(1).collect()
+    if strange:
+        raise KeyError(strange[0][0])
+    found = files.select(slug, F.col(digest).alias("found"))
+    return manifest.join(found, slug, "left").withColumn("verified", F.col("found").eqNullSafe(F.col(digest)) & F.col("found").isNotNull())
+
+
 def report_json(df: DataFrame, out: str = "report") -> DataFrame:
     """Each row as one JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(out))
