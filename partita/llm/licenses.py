@@ -181,10 +181,14 @@ def scan(docs: DataFrame, texts=TEXTS, notices=NOTICES, digests=DIGESTS, key: st
     # The steps delete no letter or digit but those of LETTERS_LOST: a line that keeps more than the longest notice has cannot become one.
     longest = lines_known.agg(F.max("n")).first()[0] or 0
     line = rows.select("_key", F.explode(F.split("_t", "\n", -1)).alias("_line")).where("_line <> ''")
-    kept = F.regexp_count("_line", F.lit(r"[\p{L}\p{N}]"))
+    # Most lines are decided by their first letters: this pattern needs no more of a line than `longest` + 1 letters or digits.
+    many = F.col("_line").rlike(rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]){{{longest + 1}}}")
+    low = F.lower("_line")
+    loses = F.contains(low, F.lit("://")) | F.contains(low, F.lit("acknowledgement")) | F.contains(low, F.lit("favour"))
+    kept = F.char_length(F.regexp_replace("_line", r"[^\p{L}\p{N}]+", ""))
     for pattern, most in LETTERS_LOST:
-        kept = kept - most * F.regexp_count(F.lower("_line"), F.lit(pattern))
-    line = line.where(kept <= longest).select("_key", normalized(F.col("_line")).alias("_n"))
+        kept = kept - most * F.regexp_count(low, F.lit(pattern))
+    line = line.where(~many | (loses & (kept <= longest))).select("_key", normalized(F.col("_line")).alias("_n"))
     line = line.where((F.col("_n") != "") & (F.char_length("_n") <= longest)).select("_key", F.sha2(F.col("_n").cast("binary"), 256).alias("digest"))
     hits = line.join(lines_known.select("digest", "licence"), "digest").groupBy(F.col("_key").alias("_hit")).agg(
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices")
