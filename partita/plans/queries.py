@@ -204,10 +204,10 @@ def weighted_fusion(spark, sf):
     return items(spark, sf).select("image_id", V.concat_fusion([(v, 0.62), (F.reverse(v), 0.38)]).alias("w")).select("image_id", *_digest(F.col("w")))
 
 
-@query("preset_fusion", f"WITH {ITEMS}, p(species, role, wt) AS (VALUES ('sp0', 0, 0.7), ('sp0', 1, 0.3), ('sp1', 0, 0.5), ('sp1', 1, 0.5)), c AS (SELECT image_id, flatten(list(list_transform(CASE role WHEN 0 THEN v ELSE list_reverse(v) END, lambda x: x * wt::DOUBLE) ORDER BY role)) AS c FROM items JOIN p USING (species) GROUP BY 1), d AS (SELECT image_id, list_transform(c, lambda x: x / (sqrt(list_dot_product(c, c)) + 1e-12)) AS w FROM c) SELECT image_id, {VDIGEST} FROM d")
+@query("preset_fusion", f"WITH {ITEMS}, p(species, role, wt) AS (VALUES ('sp0', 0, 0.7), ('sp0', 1, 0.3), ('sp1', 0, 0.5), ('sp1', 1, 0.5), ('sp2', 0, 0.6), ('sp2', 1, 0.4), ('sp3', 0, 0.25), ('sp3', 1, 0.75)), c AS (SELECT image_id, flatten(list(list_transform(CASE role WHEN 0 THEN v ELSE list_reverse(v) END, lambda x: x * wt::DOUBLE) ORDER BY role)) AS c FROM items JOIN p USING (species) GROUP BY 1), d AS (SELECT image_id, list_transform(c, lambda x: x / (sqrt(list_dot_product(c, c)) + 1e-12)) AS w FROM c) SELECT image_id, {VDIGEST} FROM d")
 def preset_fusion(spark, sf):
     it = items(spark, sf)
-    preset = spark.createDataFrame([("sp0", 0, 0.7), ("sp0", 1, 0.3), ("sp1", 0, 0.5), ("sp1", 1, 0.5)], "species string, role int, wt double")
+    preset = spark.createDataFrame([("sp0", 0, 0.7), ("sp0", 1, 0.3), ("sp1", 0, 0.5), ("sp1", 1, 0.5), ("sp2", 0, 0.6), ("sp2", 1, 0.4), ("sp3", 0, 0.25), ("sp3", 1, 0.75)], "species string, role int, wt double")
     views = it.select("image_id", "species", F.lit(0).alias("role"), "v").unionByName(it.select("image_id", "species", F.lit(1).alias("role"), F.reverse("v").alias("v")))
     parts = views.join(F.broadcast(preset), ["species", "role"]).select("image_id", "role", V.scaled(F.col("v"), F.col("wt")).alias("x"))
     row = parts.groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("role", "x"))), lambda s: s["x"])).alias("c"))
@@ -309,9 +309,9 @@ def patch_similarity(spark, sf):
     return J.patch_similarity(p, m=4).select("a", "b", r6(F.col("patch")).alias("patch"))
 
 
-@query("chamfer_score", "WITH p AS (SELECT vec_id, i, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y FROM embeddings, range(0, 32) g(i) WHERE vec_id < 64), d AS (SELECT a.vec_id AS pair, a.i AS ia, b.i AS ib, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), l AS (SELECT pair, min(d) AS d, row_number() OVER (PARTITION BY pair ORDER BY min(d), ia) AS r FROM d GROUP BY pair, ia), m AS (SELECT pair, min(d) AS d, row_number() OVER (PARTITION BY pair ORDER BY min(d), ib) AS r FROM d GROUP BY pair, ib) SELECT pair, round(exp(-((l.m + m.m) / 2) / 0.055), 6) AS score FROM (SELECT pair, avg(d) AS m FROM l WHERE r <= 20 GROUP BY 1) l JOIN (SELECT pair, avg(d) AS m FROM m WHERE r <= 20 GROUP BY 1) m USING (pair)")
+@query("chamfer_score", "WITH p AS (SELECT vec_id, i, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y FROM embeddings, range(0, 32) g(i)), d AS (SELECT a.vec_id AS pair, a.i AS ia, b.i AS ib, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), l AS (SELECT pair, min(d) AS d, row_number() OVER (PARTITION BY pair ORDER BY min(d), ia) AS r FROM d GROUP BY pair, ia), m AS (SELECT pair, min(d) AS d, row_number() OVER (PARTITION BY pair ORDER BY min(d), ib) AS r FROM d GROUP BY pair, ib) SELECT pair, round(exp(-((l.m + m.m) / 2) / 0.055), 6) AS score FROM (SELECT pair, avg(d) AS m FROM l WHERE r <= 20 GROUP BY 1) l JOIN (SELECT pair, avg(d) AS m FROM m WHERE r <= 20 GROUP BY 1) m USING (pair)")
 def chamfer_score(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id < 64")
+    e = table(spark, sf, "embeddings")
     pts = e.select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(i.alias("point"), F.get("embedding", i * 2).cast("double").alias("x"), F.get("embedding", i * 2 + 1).cast("double").alias("y")))).alias("q"))
     pts = pts.select((F.floor(F.col("vec_id") / 2) * 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), "q.*")
     got = J.chamfer(pts.where("side = 0").drop("side"), pts.where("side = 1").drop("side"), 20)
@@ -427,9 +427,9 @@ def novel_identity_split(spark, sf):
     return C.novel_split(items(spark, sf)).select("image_id", "role")
 
 
-@query("tfidf_cosine", r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS c FROM t GROUP BY 1, 2), d AS (SELECT word, count(*) AS df FROM c GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM c), w AS (SELECT doc_id, word, c * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM c JOIN d USING (word), n) SELECT doc_id, count(*) AS n_words, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight FROM w GROUP BY 1")
+@query("tfidf_cosine", r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS c FROM t GROUP BY 1, 2), d AS (SELECT word, count(*) AS df FROM c GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM c), w AS (SELECT doc_id, word, c * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM c JOIN d USING (word), n) SELECT doc_id, count(*) AS n_words, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight FROM w GROUP BY 1")
 def tfidf_cosine(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    t = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return C.tfidf(t, "doc_id", "word").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), r6(F.max("weight")).alias("top_weight"))
 
 
