@@ -183,35 +183,69 @@ def reattach_small(split: DataFrame, pairs: DataFrame, score: str, small: int =
 
 
 def _average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers: pairs of least mean cosine distance merge while it is under threshold; ties by place."""
+    """Cluster numbers: pairs of least mean cosine distance merge while it is under threshold; ties (to 12 digits) by place.
+
+    Of vectors of length 1 at most, two clusters' mean distance is 1 less the product of their means, so no matrix of all pairs is held. Each
+    row keeps its nearest later one. After a merge the rows nearest to either part keep their distance as a lower bound, as the mean with the union
+    is no less than with the nearer part; such a row is computed again when it comes first.
+    """
     n = len(x)
-    d = np.clip(1 - x @ x.T, 0, 2)
-    np.fill_diagonal(d, np.inf)
-    size, owner = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = divmod(int(np.argmin(d)), len(x))
-        if not d[i, j] < threshold:
+    parent, place, size = np.arange(n), np.arange(n), np.ones(n)
+    mean, gone, stale = x.copy(), np.zeros(n), np.zeros(n, bool)
+    best, near = np.full(n, np.inf), np.zeros(n, np.int64)
+
+    def look(k: int) -> None:
+        stale[k], best[k] = False, np.inf
+        if k + 1 < len(mean):
+            d = np.round(np.clip(1 - mean[k + 1 :] @ mean[k], 0, 2), 12) + gone[k + 1 :]
+            j = int(np.argmin(d))
+            best[k], near[k] = d[j], k + 1 + j
+
+    for k in range(n):
+        look(k)
+    left = n
+    while left > 1:
+        i = int(np.argmin(best))
+        if not best[i] < threshold:
             break
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
+        if stale[i]:
+            look(i)
+            continue
+        j = int(near[i])
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
         size[i] += size[j]
-        owner[owner == j] = i
-        n -= 1
-    return owner
-
-
-def agglomerate(items: DataFrame, threshold: float, group: str = "species", key: str = "image_id", vector: str = "v", most: int = 8000) -> DataFrame:
-    """(group, image_id, root): average linkage per group until the least distance is not under threshold. A group over `most` items is an error."""
+        parent[place[j]] = place[i]
+        gone[j] = best[j] = np.inf
+        left -= 1
+        stale |= ((near == i) | (near == j)) & (gone == 0)
+        look(i)
+        if left < len(mean) // 2:  # what is gone goes, in the same order
+            stay = gone == 0
+            to = np.cumsum(stay) - 1
+            stale |= np.isin(near, np.flatnonzero(~stay))
+            near = to[near]
+            place, size, mean, gone, stale, best, near = (v[stay] for v in (place, size, mean, gone, stale, best, near))
+    for k in range(n):  # a part's root is before it
+        parent[k] = parent[parent[k]]
+    return parent
+
+
+def agglomerate(items: DataFrame, threshold: float, group: str = "species", key: str = "image_id", vector: str = "v", most: int | None = None) -> DataFrame:
+    """(group, image_id, root): average linkage per group until the least distance is not under threshold.
+
+    Vectors have length 1 at most; a longer one is an error. A group is one task: its memory grows with its items, its time with their square. Where
+    `most` is given, a group of more items is an error.
+    """
 
     def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
+        if most is not None and len(pdf) > most:
             raise ValueError(f"group {k[0]!r} has {len(pdf)} items; average linkage takes {most} at most")
         pdf = pdf.sort_values(key)
         ids = pdf[key].to_numpy()
-        return pd.DataFrame({group: k[0], key: ids, "root": ids[_average_linkage(np.stack(pdf[vector].to_numpy()).astype(np.float64), threshold)]})
+        x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+        if (x * x).sum(axis=1).max() > 1 + 1e-3:
+            raise ValueError(f"group {k[0]!r} has a vector longer than 1")
+        return pd.DataFrame({group: k[0], key: ids, "root": ids[_average_linkage(x, threshold)]})
 
     return items.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {_schema(items, group)}, {key} long, root long")
 

@@ -3,6 +3,7 @@
 import random
 from math import log
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,18 @@ def test_kernels():
     assert abs(K.stack_gain(a, m, a, m) - 1 / 1.35) < 1e-9
     assert K.mutual_matches(np.eye(3), np.eye(3)[::-1]) == [(0, 2, 1.0), (1, 1, 1.0), (2, 0, 1.0)]
     assert K.mutual_matches(np.empty((0, 3)), np.eye(3)) == []
+
+
+def test_agglomeration_takes_groups_of_any_size_and_equals_a_plain_search(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    parts = {i: [i] for i in range(60)}
+    mean = lambda p, q: float(np.mean([1 - x[i] @ x[j] for i in parts[p] for j in parts[q]]))
+    while (best := min((round(mean(p, q), 12), p, q) for p in parts for q in parts if p < q))[0] < 0.4:
+        parts[best[1]] += parts.pop(best[2])
+    rows = [(i, "s", v.tolist()) for i, v in enumerate(x)]
+    got = partition.agglomerate(frame(spark, rows, "image_id long, species string, v array<double>"), 0.4).collect()
+    assert {r.image_id: r.root for r in got} == {i: p for p, ids in parts.items() for i in ids} and 1 < len(parts) < 60
+    big = spark.range(8_200).selectExpr("id image_id", "'s' species", "array(cos(id % 41 * 0.15D), sin(id % 41 * 0.15D)) v")
+    assert {(r.root, r.n) for r in partition.agglomerate(big, 0.005).groupBy("root").agg(F.count(F.lit(1)).alias("n")).collect()} == {(i, 200) for i in range(41)}
