@@ -497,3 +497,43 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark, sf):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, df, sf).collect())
     assert got == sorted([(1, a), (1, b), (0, c + " x")])
+
+
+def test_the_bounded_distance_says_what_the_whole_one_does():
+    rng = random.Random(4)
+    for _ in range(1500):
+        a = "".join(rng.choice("abcd e") for _ in range(rng.choice([1, 16, 17, 60, 130])))
+        b = "".join(c for c in a if rng.random() > 0.2) + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 30)))
+        whole = line_dedup.edit_distance(a, b)
+        for most in (0, len(a) // 5, whole - 1, whole, whole + 1):
+            assert (line_dedup.edit_distance(a, b, most) <= most) == (whole <= most)
+
+
+def test_spark_and_python_decide_pairs_alike(spark):
+    rng, rows = random.Random(7), []
+    for i in range(600):
+        a = "".join(rng.choice("abcé日𝒳 ") for _ in range(rng.choice([1, 2, 5, 40, line_dedup.NATIVE, line_dedup.NATIVE + 1, 90])))
+        rows.append((i, i + 1000, a, "".join(c if rng.random() > 0.22 else rng.choice(["", "z", c + "y"]) for c in a)))
+    got = {r.a for r in line_dedup.similar(spark.createDataFrame(rows, "a long, b long, ta string, tb string"), 0.8).collect()}
+    assert got == {r[0] for r in rows if line_dedup.near(r[2], r[3])} and 100 < len(got) < 500
+
+
+def test_documents_are_shuffled_in_parts(spark, monkeypatch):
+    kept, keep = [], line_dedup.Tables.keep
+
+    def note(self, df, name):
+        out = keep(self, df, name)
+        kept.append((name, out.count()))
+        return out
+
+    words = "river mountain forest valley garden window orchard meadow harbour lantern".split()
+    rng = random.Random(2)
+    base = [" ".join(rng.choice(words) + str(rng.randint(0, 99)) for _ in range(12)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, base[i % 40] + ("" if i < 40 else " x")) for i in range(80)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in line_dedup.dedup_lines(docs).collect())
+    monkeypatch.setattr(line_dedup, "PARTS", 3)
+    monkeypatch.setattr(line_dedup.Tables, "keep", note)
+    assert sorted(tuple(r) for r in line_dedup.dedup_lines(docs).collect()) == want and sum(r[-1] for r in want) == 40
+    texts = [n for name, n in kept if name == "texts"]
+    assert len(texts) % 3 == 0 and max(texts) < 80
+    assert len([n for name, n in kept if name == "shared"]) == 3
