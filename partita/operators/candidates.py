@@ -6,6 +6,11 @@ them, and gives each item's best `k` of the cell only, so no task and no result
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from decimal import ROUND_HALF_UP, Decimal
+from hashlib import md5
+from heapq import nsmallest
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -150,6 +155,77 @@ def sampled_pairs(pairs: DataFrame, n: int, seed: int, by: str | None = None) ->
     return pairs.withColumn("draw", draw).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("draw", "r")
 
 
+def _first_drawn(left: list[int], right: list[int], one: bool, n: int, seed: int) -> list[tuple[bytes, int, int]]:
+    """(md5, i, j) of the n pairs of left and right ids with the smallest md5(seed|a|b), a < b; right is sorted, and is left itself if `one`."""
+    text, best, most = [b"%d" % y for y in right], [], b"\xff" * 17
+    for i, x in enumerate(left):
+        above = bisect_right(right, x)
+        head = b"%d|%d|" % (seed, x)
+        got = [(h, i, j) for j, y in enumerate(text[above:], above) if (h := md5(head + y).digest()) < most]
+        if not one:
+            head, tail = b"%d|" % seed, b"|%d" % x
+            got += [(h, i, j) for j, y in enumerate(text[: bisect_left(right, x)]) if (h := md5(head + y + tail).digest()) < most]
+        if got:
+            best = nsmallest(n, best + got)
+            most = best[-1][0] if len(best) == n else most
+    return best
+
+
+def _least_similar(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, pair: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(i, j) of the n pairs of least product by 9 digits, then a, b. Products are summed in order, as Spark and SQL do; a missing one is last."""
+    sim = np.where(pair, np.nan_to_num(x @ y.T, nan=np.inf), np.nan)
+    bound = np.partition(sim[pair], n - 1)[n - 1] + 1e-8 if pair.sum() > n else np.inf
+    i, j = np.nonzero(pair & (sim <= bound))
+    exact = np.zeros(len(i))
+    for d in range(x.shape[1]):
+        exact = exact + x[i, d] * y[j, d]
+    value, place = np.unique(exact, return_inverse=True)
+    cut = [float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) if np.isfinite(v) else np.inf for v in value.tolist()]
+    order = np.lexsort((b[i, j], a[i, j], np.array(cut)[place]))[:n]
+    return list(zip(i[order].tolist(), j[order].tolist(), strict=True))
+
+
+def first_within(labels: DataFrame, n: int, seed: int, label: str, key: str = "image_id", vector: str | None = None, hard: int = 0, whole: int = 0, cell: int = CELL) -> DataFrame:
+    """(label, a, b, pairs): of each two cells of a label's items the n pairs a < b of the smallest md5(seed|a|b), and the `hard` least similar ones.
+
+    All pairs of a label are drawn from, none is shuffled: a task holds two cells of at most about `cell` items. Cells of up to `whole` pairs give
+    all. A row without ids gives how many pairs two cells have, as `pairs`. Null labels and ids have no pairs.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(label).alias("l"), F.col(key).cast("long").alias("id"), *([F.col(vector).alias("v")] if vector else []))
+    sizes = known.groupBy("l").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("nc"))
+    dealt = known.join(sizes, "l").withColumn("c", F.pmod(F.xxhash64("id"), "nc").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)))
+    dealt = dealt.withColumn("ci", F.least("c", "o")).withColumn("cj", F.greatest("c", "o")).drop("nc", "o")
+    kind = dealt.schema["l"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        one = bool(pdf["ci"].iloc[0] == pdf["cj"].iloc[0])
+        left, right = (pdf, pdf) if one else (pdf[pdf["c"] == pdf["ci"]], pdf[pdf["c"] == pdf["cj"]])
+        x, y = left["id"].to_numpy(), right["id"].to_numpy()
+        pair = x[:, None] < y[None, :] if one else x[:, None] != y[None, :]
+        count = int(pair.sum())
+        if count <= max(whole, n):
+            chosen = set(zip(*[p.tolist() for p in np.nonzero(pair)], strict=True))
+        else:
+            chosen = {(i, j) for _, i, j in _first_drawn(x.tolist(), y.tolist(), one, n, seed)}
+            if hard:
+                none = np.full(max((len(v) for v in pdf["v"] if v is not None), default=1), np.nan)
+                vx, vy = (np.stack([none if v is None else np.asarray(v, np.float64) for v in side["v"]]) for side in (left, right))
+                chosen |= set(_least_similar(vx, vy, np.minimum(x[:, None], y[None, :]), np.maximum(x[:, None], y[None, :]), pair, hard))
+        met = sorted((int(min(x[i], y[j])), int(max(x[i], y[j]))) for i, j in chosen)
+        rows = [(a, b, None) for a, b in met] + [(None, None, count)]
+        return pd.DataFrame(rows, columns=["a", "b", "pairs"], dtype="object").assign(l=pdf["l"].iloc[0])[["l", "a", "b", "pairs"]]
+
+    # A cell's rows are few and its pairs many, so partitions are not to be merged by their bytes.
+    dealt = dealt.repartition(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l", "ci", "cj")
+    return dealt.groupBy("l", "ci", "cj").applyInPandas(run, f"l {kind}, a long, b long, pairs long").withColumnRenamed("l", label)
+
+
+def sampled_within(labels: DataFrame, n: int, seed: int, label: str, key: str = "image_id") -> DataFrame:
+    """(label, a, b): the n pairs of each label that sampled_pairs() takes of within_pairs(), without a row for every pair."""
+    return sampled_pairs(first_within(labels, n, seed, label, key).where("a is not null").drop("pairs"), n, seed, label)
+
+
 def drawn_negatives(items: DataFrame, n: int, seed: int, identity: str = "identity", key: str = "image_id", spare: int = 2) -> DataFrame:
     """(a, b): up to n pairs of different identity, drawn by hash without pairing all items.
 
@@ -177,15 +253,18 @@ def training_pairs(
     the order of md5(seed|a|b).
     """
     from ..functions.vectors import dot
+    from .components import cut
 
     named = items.where(F.col(identity).isNotNull())
     v = lambda s: named.select(F.col(key).alias(s), F.col(vector).alias(f"v{s}"))
-    pos = within_pairs(named, identity, key).join(v("a"), "a").join(v("b"), "b").withColumn("sim", F.round(dot(F.col("va"), F.col("vb")), 9)).drop("va", "vb")
+    drawn = cut(first_within(named, rand, seed, identity, key, vector, hard, many))
+    size = drawn.where("a is null").groupBy(identity).agg(F.sum("pairs").alias("n"))
+    pos = drawn.where("a is not null").drop("pairs").join(v("a"), "a").join(v("b"), "b").withColumn("sim", F.round(dot(F.col("va"), F.col("vb")), 9)).drop("va", "vb")
     w = Window.partitionBy(identity)
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string")))
-    pos = pos.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("easy", F.row_number().over(w.orderBy("sim", "a", "b"))).withColumn("r", F.row_number().over(w.orderBy(draw)))
+    pos = pos.join(size, identity).withColumn("easy", F.row_number().over(w.orderBy(F.asc_nulls_last("sim"), "a", "b"))).withColumn("r", F.row_number().over(w.orderBy(draw)))
     pos = pos.where((F.col("n") <= many) | (F.col("easy") <= hard) | (F.col("r") <= rand)).select("a", "b")
-    near = across(neighbours, named, per_item, label=identity, key=key).select("a", "b")
+    near = cut(across(neighbours, named, per_item, label=identity, key=key).select("a", "b"))
     need = min(limit // 2, most_random)
     extra = drawn_negatives(named, need, seed, identity, key).join(near, ["a", "b"], "left_anti")
     lacking = F.greatest(F.lit(need) - F.col("have"), F.lit(0))

@@ -1,5 +1,6 @@
 """Ordered sums, pair records, sampling and digests: hand-computed cases and odd rows."""
 
+import hashlib
 import random
 
 import pytest
@@ -91,3 +92,29 @@ def test_member_lists_hold_all_ids_once(spark):
     got = components.members(parts, at_most=20).collect()
     assert sorted(i for r in got for i in r.ids) == list(range(500)) and max(len(r.ids) for r in got) < 60
     assert all(r.ids == sorted(r.ids) and {i % 3 for i in r.ids} == {r.component} for r in got)
+
+
+def test_pairs_of_labels_are_sampled_in_cells(spark):
+    rows = [(i, "big" if i % 3 else None if i % 2 else f"x{i % 5}") for i in range(300)] + [(7, "big"), (None, "big")]
+    it = spark.createDataFrame(rows, "image_id long, identity string")
+    plain = candidates.sampled_pairs(candidates.within_pairs(it, "identity"), 12, 7, "identity").select("identity", "a", "b")
+    for cell in (16, 1024):
+        drawn = candidates.first_within(it, 12, 7, "identity", cell=cell)
+        got = candidates.sampled_pairs(drawn.where("a is not null"), 12, 7, "identity").select("identity", "a", "b")
+        assert sorted(got.collect()) == sorted(plain.collect())
+        pairs = {r.identity: r.n for r in drawn.groupBy("identity").agg(F.sum("pairs").alias("n")).collect()}
+        assert pairs == {r.identity: r.n for r in candidates.within_pairs(it, "identity").groupBy("identity").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert drawn.count() < candidates.within_pairs(it, "identity").count() / 5
+    assert sorted(candidates.sampled_within(it, 12, 7, "identity").select("identity", "a", "b").collect()) == sorted(plain.collect())
+
+
+def test_training_pairs_take_the_hard_and_the_drawn_pairs_of_all_cells(spark, monkeypatch):
+    monkeypatch.setattr(candidates.first_within, "__defaults__", (*candidates.first_within.__defaults__[:-1], 16))
+    rng = random.Random(2)
+    own = [[rng.gauss(0, 1), rng.gauss(0, 1)] for _ in range(40)]
+    it = spark.createDataFrame([(i, "s", "big", own[i % 40]) for i in range(90)] + [(99, "s", "big", None)], "image_id long, species string, identity string, v array<double>")
+    got = candidates.training_pairs(it, candidates.top_k(it.where("v is not null"), it.where("v is not null"), 3), 2000).where("label = 1").collect()
+    sim = lambda a, b: float("inf") if 99 in (a, b) else round(own[a % 40][0] * own[b % 40][0] + own[a % 40][1] * own[b % 40][1], 9)
+    every = [(a, b) for a in [*range(90), 99] for b in [*range(90), 99] if a < b]
+    want = set(sorted(every, key=lambda p: (sim(*p), p))[:20]) | set(sorted(every, key=lambda p: hashlib.md5(f"7|{p[0]}|{p[1]}".encode()).hexdigest())[:30])
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
