@@ -68,7 +68,7 @@ def best_threshold(search: DataFrame) -> DataFrame:
 
 def validation_pairs(items: DataFrame, neighbours: DataFrame, per_identity: int = 10, negatives: int = 1000, seed: int = 11, identity: str = "identity", key: str = "image_id") -> DataFrame:
     """(a, b, label): up to per_identity positive pairs of each identity, and as many negatives by hash order as asked for."""
-    pos = candidates.sampled_pairs(candidates.within_pairs(items, identity, key), per_identity, seed, identity).select("a", "b", F.lit(1).alias("label"))
+    pos = candidates.sampled_within(items, per_identity, seed, identity, key).select("a", "b", F.lit(1).alias("label"))
     neg = candidates.across(neighbours, items, 1 << 20, label=identity, key=key)
     return pos.unionByName(candidates.sampled_pairs(neg, negatives, seed).select("a", "b", F.lit(0).alias("label")))
 
