@@ -377,9 +377,9 @@ def mask_choice(spark, sf):
 
 @query("calibration_pairs", f"WITH {PAIRS}, w AS (SELECT x.image_id AS a, y.image_id AS b, x.identity FROM items x JOIN items y ON x.identity = y.identity AND x.species = y.species AND x.image_id < y.image_id), r AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY md5('7|' || a::VARCHAR || '|' || b::VARCHAR)) AS r FROM w) SELECT DISTINCT a, b FROM (SELECT a, b FROM r WHERE r <= 12 UNION ALL SELECT a, b FROM (SELECT a, b FROM pairs ORDER BY pairs.sim DESC, a, b LIMIT 400))")
 def calibration_pairs(spark, sf):
-    it = items(spark, sf).withColumn("si", F.concat_ws("|", "species", "identity"))
-    near = J.budget(scored_pairs(it), 400, F.desc("sim")).select("a", "b")
-    pos = J.within_pairs(it, "si").withColumn("identity", F.split("si", r"\|")[1])
+    it = items(spark, sf).withColumn("si", F.concat("species", F.lit("|"), "identity"))
+    near = J.budget(scored_pairs(items(spark, sf)), 400, F.desc("sim")).select("a", "b")
+    pos = J.first_within(it, 12, 7, "si").where("a is not null").select("a", "b", F.expr("substring(si, instr(si, '|') + 1)").alias("identity"))
     return J.sampled_pairs(pos, 12, 7, "identity").select("a", "b").unionByName(near).dropDuplicates(["a", "b"])
 
 
