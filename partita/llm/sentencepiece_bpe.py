@@ -6,7 +6,8 @@ merged on their own, stay apart. One pass over an automaton's matches fills the
 read off backwards from the end. The pair tests are exact merges of the two tokens' characters and are kept in a table.
 
 The text is normalised by the library. No piece goes on from a visible character into the space mark, so words are encoded
-one by one, and each word once (a bounded table keeps them); a model with other pieces is encoded text by text.
+one by one and kept in a table of bounded size, which words that go on being met never leave; a model with other pieces is
+encoded text by text.
 Characters without a piece become byte tokens. Models with user-defined or unused pieces or without byte pieces are refused.
 """
 
@@ -31,10 +32,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import slices, table
 
 SPACE = "▁"
-#: Bytes that the table of words may take in each worker, and entries of that of token pairs; a full table starts anew.
-WORD_BYTES, PAIRS = 32 << 20, 1 << 17
+#: Bytes that the table of words may take in each worker, and entries of that of token pairs; a full table of pairs starts anew.
+WORD_BYTES, PAIRS = 64 << 20, 1 << 18
 #: Bytes of text that are encoded before a batch is handed on; a longer text is a batch by itself.
 SLICE = 1 << 22
+#: A token, or a character that is none, fits in so many bits.
+BITS = 22
 
 
 USER_DEFINED = 4
@@ -67,6 +70,27 @@ def piece_types(model: bytes) -> list[int]:
     return [next((v for n, v in _fields(piece) if n == 3), 1) for number, piece in _fields(model) if number == 1]
 
 
+class Words(dict):
+    """Packed ids by word. Half of WORD_BYTES is for the words met since the table was last full, half for those met before that."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.before, self.bytes = make, {}, 0
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.before.get(w)
+        if ids is None:
+            ids = self.make(w)
+        if len(w) <= 64:
+            if self.bytes >= WORD_BYTES // 2:
+                self.before = None
+                self.before, self.bytes = dict(self), 0
+                self.clear()
+            self[w] = ids
+            # An entry of the dictionary, with its room to grow, and the heads of the two strings.
+            self.bytes += 160 + 2 * len(w) + len(ids)
+        return ids
+
+
 class PrefixTableEncoder:
     def __init__(self, model_file: str):
         sp = self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -91,6 +115,7 @@ class PrefixTableEncoder:
         for c in {c for p in self.ids for c in p} - set(self.ids):
             self.tokens[c] = n + ord(c)
         self.name = {i: p for p, i in self.tokens.items()}
+        self.packed = [struct.pack("<i", i) for i in range(n)]
         self.by_words = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         breaks = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.cutter = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+|[{breaks}]" if breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -104,9 +129,8 @@ class PrefixTableEncoder:
                 self.right[i] = [(k, last) for k, _, last in steps]
                 self.left[i] = [(k, first) for k, first, _ in steps]
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.words_bytes = 0
+        self.pairs: dict[int, bool] = {}
+        self.words = Words(lambda w: self._word(w))
 
     def _merged(self, s: str, steps: list | None = None) -> list[str]:
         """The library's merging, for short strings: best score first, then leftmost. steps gets (key, first, last symbol)."""
@@ -133,12 +157,10 @@ class PrefixTableEncoder:
         return [x for x in sym if x]
 
     def _together(self, a: int, b: int) -> bool:
-        """Whether token b can follow token a."""
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self._apart(self.name[a][-1], self.right[a], self.name[b][0], self.left[b])
+        """Whether token b can follow token a, for the table of pairs."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[a << BITS | b] = self._apart(self.name[a][-1], self.right[a], self.name[b][0], self.left[b])
         return ok
 
     def _apart(self, x: str, ahead: list, y: str, behind: list) -> bool:
@@ -165,48 +187,37 @@ class PrefixTableEncoder:
                     if y != old:
                         break
 
-    def _word(self, s: str) -> list[int]:
-        """Ids of a piece of normalised text."""
-        last, width = [-1] * (len(s) + 1), [1] * (len(s) + 1)
-        pairs, together = self.pairs, self._together
+    def _word(self, s: str) -> bytes:
+        """Packed ids of a piece of normalised text."""
+        last = [-1] * (len(s) + 1)
+        known, together = self.pairs.get, self._together
         for end, (tok, n) in self.automaton.iter(s):
-            i = end + 1
-            if last[i] < 0:
-                before = last[i - n]
+            if last[end + 1] < 0:
+                before = last[end + 1 - n]
                 # Nothing merges with a character that is in no piece, nor with the start of the text.
-                if before < 0 or (pairs[before, tok] if (before, tok) in pairs else together(before, tok)):
-                    last[i], width[i] = tok, n
-        out, i = [], len(s)
+                if before >= 0:
+                    ok = known(before << BITS | tok)
+                    if not (together(before, tok) if ok is None else ok):
+                        continue
+                last[end + 1] = tok
+        out, i, packed, name = [], len(s), self.packed, self.name
         while i:
             tok = last[i]
-            if 0 <= tok < len(self.sp):
-                out.append(tok)
+            if 0 <= tok < len(packed):
+                out.append(packed[tok])
+                i -= len(name[tok])
             else:
-                out += [self.bytes[b] for b in reversed(s[i - 1].encode())]
-            i -= width[i]
-        return out[::-1]
+                out += [packed[self.bytes[b]] for b in reversed(s[i - 1].encode())]
+                i -= 1
+        out.reverse()
+        return b"".join(out)
 
     def encode_packed(self, text: str | None) -> bytes:
         """Ids without begin and end as little-endian 32-bit integers; None: those of the empty text."""
         if not text:
             return b""
         s = self.sp.normalize(text)
-        if not self.by_words:
-            return np.asarray(self._word(s), "<i4").tobytes()
-        words, out = self.words, []
-        for w in self.cutter.findall(s):
-            ids = words.get(w)
-            if ids is None:
-                got = self._word(w)
-                ids = struct.pack(f"<{len(got)}i", *got)
-                if len(w) <= 64:
-                    if self.words_bytes >= WORD_BYTES:
-                        words.clear()
-                        self.words_bytes = 0
-                    words[w] = ids
-                    self.words_bytes += 200 + 4 * len(w) + len(ids)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.cutter.findall(s))) if self.by_words else self._word(s)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids without begin and end; None: those of the empty text."""

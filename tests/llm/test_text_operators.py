@@ -47,6 +47,17 @@ def test_pair_test_equals_merging_the_pair():
         assert enc._apart(x[-1], enc.right[a], y[0], enc.left[b]) == (enc._merged(x + y) == [x, y])
 
 
+def test_words_that_go_on_being_met_stay_in_the_full_table(monkeypatch):
+    monkeypatch.setattr(sp, "WORD_BYTES", 20_000)
+    enc, lib, made = sp.PrefixTableEncoder(sp.default_model()), library(), []
+    word = enc._word
+    monkeypatch.setattr(enc, "_word", lambda s: made.append(s) or word(s))
+    for i in range(2000):
+        s = f"once the{i}x"
+        assert enc.encode(s) == lib.encode(s)
+    assert made.count("▁once") == 1
+
+
 def test_user_defined_pieces_are_refused(monkeypatch):
     lib = library()
     kinds = sp.piece_types(lib.serialized_model_proto())
