@@ -468,6 +468,20 @@ def test_warc_of_nothing(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
 
 
+def test_pipeline_hands_small_batches_to_python(spark, sf):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    df = spark.createDataFrame([("x" * 100_000,)] * 200, "t string").coalesce(1)
+    sizes = lambda: [r.n for r in df.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [rb.nbytes]}) for rb in it), "n long").collect()]
+    try:
+        assert max(sizes()) > 8 << 20
+        corpus_pipeline.dedup_documents(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(5), sf)
+        got = sizes()
+        assert sum(got) > 200 * 100_000 and max(got) < 8 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_pipeline_stages(spark, sf):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
