@@ -551,3 +551,35 @@ def test_documents_are_shuffled_in_parts(spark, monkeypatch):
     texts = [n for name, n in kept if name == "texts"]
     assert len(texts) % 3 == 0 and max(texts) < 80
     assert len([n for name, n in kept if name == "shared"]) == 3
+
+
+@pytest.mark.parametrize("cell", [512, 16])
+def test_lines_beside_their_head_are_linked_without_a_row_for_every_pair(spark, monkeypatch, cell):
+    made, keep = {}, line_dedup.Tables.keep
+
+    def note(self, df, name):
+        out = keep(self, df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    rng = random.Random(12)
+    anchors = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26)), "qwertzuiopasdfghjklyxcvbn", "mnbvcxylkjhgfdsapoiuztrewq"
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(5))
+    centres = [[word() for _ in range(16)] for _ in range(6)]
+    lines = []
+    for i in range(300):
+        c = list(centres[i % 6])
+        for at in rng.sample(range(16), 3):
+            c[at] = word()
+        lines.append(" ".join([*anchors, *c]))
+    monkeypatch.setattr(line_dedup.Tables, "keep", note)
+    monkeypatch.setattr(line_dedup, "CELL", cell, raising=False)
+    drops = line_dedup.find_dropped(docs(spark, ["\n".join(lines)])).collect()
+    group = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if group[i] != group[j] and line_dedup.near(lines[i], lines[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {i for i in range(300) if i != group.index(group[i])}
+    assert {p for r in drops for p in r.drops} == want and len(want) > 250
+    assert max(made.values()) < 3000, made
