@@ -4,7 +4,9 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from partita.llm import embedding_dups, line_dedup, minhash, mixing, warc
+from partita.llm import components, embedding_dups, line_dedup, minhash, mixing, warc
 
 from .test_text_operators import DOCS, ODD, docs
 
@@ -583,3 +585,34 @@ def test_lines_beside_their_head_are_linked_without_a_row_for_every_pair(spark,
     want = {i for i in range(300) if i != group.index(group[i])}
     assert {p for r in drops for p in r.drops} == want and len(want) > 250
     assert max(made.values()) < 3000, made
+
+
+def test_line_dedup_runs_no_python_on_the_executors(spark, monkeypatch):
+    plans, keep = [], line_dedup.Tables.keep
+
+    def note(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, name)
+
+    monkeypatch.setattr(line_dedup.Tables, "keep", note)
+    rng = random.Random(5)
+    anchor = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26))
+    lines = [f"{anchor} {prose(rng, 3)}" for _ in range(30)]
+    plans.append(line_dedup.dedup_lines(docs(spark, ["\n".join(lines)]))._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not [p for p in plans if re.search("Python|Pandas|Arrow", p)]
+
+
+def test_word_bound_and_distance_decide_as_near_does(spark):
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        w = prose(rng, rng.randint(1, 40)).split(" ")
+        v = list(w)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(v) + 1)
+            v[at : at + rng.randint(0, 2)] = prose(rng, rng.randint(1, 2)).split(" ") if rng.random() < 0.6 else []
+        rows.append((i, " ".join(w), " ".join(v) or "x"))
+    df = spark.createDataFrame(rows, "a long, ta string, tb string")
+    got = df.select("ta", "tb", line_dedup.most_apart(F.col("ta"), F.col("tb")).alias("most"), F.lit(0).alias("b"), "a").collect()
+    assert all(line_dedup.edit_distance(r.ta, r.tb) <= r.most for r in got) and sum(line_dedup.edit_distance(r.ta, r.tb) == r.most for r in got) > 50
+    near = {r.a for r in line_dedup.similar(df.withColumn("b", F.lit(0)), 0.8).collect()}
+    assert near == {i for i, x, y in rows if line_dedup.near(x, y)} and 50 < len(near) < 350
