@@ -616,3 +616,11 @@ def test_word_bound_and_distance_decide_as_near_does(spark):
     assert all(line_dedup.edit_distance(r.ta, r.tb) <= r.most for r in got) and sum(line_dedup.edit_distance(r.ta, r.tb) == r.most for r in got) > 50
     near = {r.a for r in line_dedup.similar(df.withColumn("b", F.lit(0)), 0.8).collect()}
     assert near == {i for i, x, y in rows if line_dedup.near(x, y)} and 50 < len(near) < 350
+
+
+def test_components_leave_no_round_behind(spark):
+    before = set(os.listdir(base)) if (base := spark.conf.get("spark.checkpoint.dir", None)) else set()
+    got = components.connected(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert {r.component for r in got.collect()} == {0} and got.count() == 41
+    left = [x for x in os.listdir(spark.conf.get("spark.checkpoint.dir")) if x not in before and x.startswith("partita-edges")]
+    assert len(left) == 1
