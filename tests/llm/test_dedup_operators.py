@@ -624,3 +624,38 @@ def test_components_leave_no_round_behind(spark):
     assert {r.component for r in got.collect()} == {0} and got.count() == 41
     left = [x for x in os.listdir(spark.conf.get("spark.checkpoint.dir")) if x not in before and x.startswith("partita-edges")]
     assert len(left) == 1
+
+
+def test_every_near_pair_of_a_bucket_is_linked_whatever_anchors_both_lack(spark, monkeypatch):
+    """Short lines lack the same anchors often; these are no key in common. Against all pairs that share a key and 2 in 5 anchors."""
+    rng = random.Random(14)
+    frame = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 12)) for _ in range(3)]
+    lines = []
+    for _ in range(60):
+        own = prose(rng, 3)
+        lines += [" ".join([*frame, own]), " ".join([*frame, own, rng.choice("xyz") * 2])]
+    lines = list(dict.fromkeys(lines))
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "lid long, t string").withColumn("chk", F.col("lid"))
+    a = {r.lid: [r[f"a{c}"] for c in range(line_dedup.ANCHORS)] for r in line_dedup.anchored(texts).collect()}
+    links = []
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        key = any(any(a[i][c] for c in k) and all(a[i][c] == a[j][c] for c in k) for k in line_dedup.KEYS)
+        same, either = sum(x == y != 0 for x, y in zip(a[i], a[j], strict=True)), sum(bool(x or y) for x, y in zip(a[i], a[j], strict=True))
+        if key and same * 5 >= either * 2 and line_dedup.near(lines[i], lines[j]):
+            links.append((i, j))
+    group = groups(range(len(lines)), links)
+    want = {i for i in range(len(lines)) if group[i] != i}
+    monkeypatch.setattr(line_dedup, "FACING", 7, raising=False)
+    got = line_dedup.find_dropped(docs(spark, ["\n".join(lines)])).collect()
+    assert {p for r in got for p in r.drops} == want and len(want) > 50
+
+
+def test_common_ends_are_left_out_before_the_distance(spark):
+    rng, rows = random.Random(15), [("abc", "abc"), ("", ""), ("aa", "aaa"), ("x" * 9000 + "a", "x" * 9000), ("aé日𝒳b", "aé𝒳b"), ("abab", "ab")]
+    for _ in range(150):
+        a, b, c = prose(rng, 9), prose(rng, rng.randint(0, 4)), prose(rng, rng.randint(0, 4))
+        rows.append((f"{a} {b} {a[:9]}", f"{a} {c} {a[:9]}"))
+    df = spark.createDataFrame(rows, "x string, y string").select("x", "y", line_dedup.unlike_parts(F.col("x"), F.col("y")).alias("z"))
+    for r in df.collect():
+        assert line_dedup.edit_distance(r.z.x, r.z.y) == line_dedup.edit_distance(r.x, r.y)
+        assert len(r.x) > 5000 or not r.z.x or not r.z.y or (r.z.x[0] != r.z.y[0] and r.z.x[-1] != r.z.y[-1])
